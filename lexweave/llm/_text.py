@@ -14,4 +14,10 @@ _OUTER = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.catego
 
 def outer_stripped(text: str) -> list[str]:
     """Words split at white space, lower-cased and freed of outer punctuation; those that were only punctuation go."""
-    return [w for w in (x.strip(_OUTER) for x in text.lower().split()) if w]
+    return [w for w in map(bare, text.split()) if w]
+
+
+def bare(token: str) -> str:
+    """A white-space separated token, lower-cased and freed of outer punctuation."""
+    token = token.lower()
+    return token if token.isalnum() else token.strip(_OUTER)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm._text import outer_stripped
+from lexweave.llm._text import bare
 from lexweave.session import cut
 
 SEGMENTS, WIDTH = 14, 4
@@ -41,8 +41,10 @@ _N = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @lru_cache(maxsize=400_000)
-def _word(w: str) -> int:
-    return xxhash.xxh3_64_intdigest(w)
+def _word(token: str) -> int:
+    """The hash of a token's word, 0 where it is punctuation only."""
+    w = bare(token)
+    return (xxhash.xxh3_64_intdigest(w) or 1) if w else 0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,10 +54,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the runs of ``size`` words."""
-    words = outer_stripped(text or "")
-    if len(words) < size:
+    tokens = (text or "").split()
+    h = np.fromiter(map(_word, tokens), np.uint64, len(tokens))
+    h = h[h != 0]
+    if len(h) < size:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word, words), np.uint64, len(words))
     n = len(h) - size + 1
     acc = h[:n].copy()
     for i in range(1, size):
@@ -65,16 +68,16 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def _multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(20).integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)
+    return np.random.default_rng(20).integers(1, 2**32, n, dtype=np.uint32) | np.uint32(1)
 
 
 def minima(sh: np.ndarray, n: int) -> np.ndarray:
     """``n`` minima of the shingles under multiply hashes, by blocks so that a very long text stays small in memory."""
-    mult, best = _multipliers(n), np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(sh), 4096):
-        part = sh[at : at + 4096]
-        best = np.minimum(best, (mult[:, None] * part[None, :]).min(axis=1))
-    return best
+    mult, best = _multipliers(n)[:, None], np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    short = (sh >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 1024):
+        best = np.minimum(best, (mult * short[None, at : at + 1024]).min(axis=1))
+    return best.astype(np.uint64)
 
 
 def _pack(bits: np.ndarray) -> list[int]:
@@ -85,7 +88,7 @@ def fingerprint(sh: np.ndarray, segments: int = SEGMENTS, width: int = WIDTH) ->
     """Table keys of all ball members, and the 128-bit complete fingerprint as two longs."""
     m = minima(sh, segments * width + BITS)
     sym = _mix(m[: segments * width]).reshape(segments, width)
-    places = _multipliers(segments * width + BITS)[: segments * width].reshape(segments, width)
+    places = (_mix(np.arange(1, segments * width + 1, dtype=np.uint64) * _N)).reshape(segments, width)
     terms = _mix(sym ^ places)  # a symbol in its place
     whole = terms.sum(axis=1, dtype=np.uint64)
     patterns = _mix((whole[:, None] - terms) ^ (places * _N))  # all but one symbol, and which one is open
@@ -94,7 +97,7 @@ def fingerprint(sh: np.ndarray, segments: int = SEGMENTS, width: int = WIDTH) ->
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, cls, keys, lo, hi): the class (its shingle set), table keys and fingerprint of every text with a shingle."""
+    """(key, cls, keys, lo, hi): the class (a hash of the shingle set), table keys and fingerprint of every text with a shingle."""
     rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,10 +106,10 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             for k, t in zip(b["key"], b["text"]):
                 sh = shingles(t, size)
                 if len(sh):
-                    out.append((k, xxhash.xxh3_128_hexdigest(sh.tobytes()), *fingerprint(sh)))
+                    out.append((k, xxhash.xxh3_64_intdigest(sh.tobytes()) - 2**63, *fingerprint(sh)))
             yield pd.DataFrame(out, columns=["key", "cls", "keys", "lo", "hi"])
 
-    return rows.mapInPandas(run, "key string, cls string, keys array<long>, lo long, hi long")
+    return rows.mapInPandas(run, "key string, cls long, keys array<long>, lo long, hi long")
 
 
 def _agree(threshold: float) -> int:
@@ -116,18 +119,21 @@ def _agree(threshold: float) -> int:
 
 
 def similar_classes(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Links between classes (cls_a < cls_b, jaccard), and the membership (key, cls) of every text.
+    """Links between classes by their smallest keys (key_a, key_b, jaccard), and the membership (key, cls) of every text.
 
     The texts are read twice: once for the signatures, which are written to the shared folder, and once to verify.
     """
     sig = cut(signatures(docs, key, text, size))
     members = sig.select("key", "cls")
-    reps = sig.groupBy("cls").agg(F.min(F.struct("key", "keys", "lo", "hi")).alias("r"))
-    index = reps.select("r.key", "r.lo", "r.hi", F.explode("r.keys").alias("k"))
-    a, b = (index.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "lo", "hi")], "k") for s in "ab")
+    reps = sig.groupBy("cls").agg(F.first("keys").alias("keys"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    index = reps.select("cls", "lo", "hi", F.explode("keys").alias("k"))
+    a, b = (index.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "lo", "hi")], "k") for s in "ab")
     apart = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
-    met = a.join(b, "k").where((F.col("key_a") < F.col("key_b")) & (apart <= _agree(threshold)))
-    met = met.select("key_a", "key_b").distinct()
+    met = a.join(b, "k").where((F.col("cls_a") < F.col("cls_b")) & (apart <= _agree(threshold)))
+    met = met.select("cls_a", "cls_b").distinct()
+    rep = members.groupBy("cls").agg(F.min("key").alias("key"))
+    met = met.join(rep.select(F.col("cls").alias("cls_a"), F.col("key").alias("key_a")), "cls_a")
+    met = met.join(rep.select(F.col("cls").alias("cls_b"), F.col("key").alias("key_b")), "cls_b").select("key_a", "key_b")
     texts = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     both = met.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
     both = both.join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import leakage, neardup
+from lexweave.llm import canon, langid, leakage, neardup
 from lexweave.tables import table
 
 
@@ -15,6 +17,59 @@ def last_delivery(df: DataFrame, key: str, at: str, *cols: str) -> DataFrame:
     return kept.select(key, *[f"_r.{c}" for c in cols])
 
 
+def p2_values(spark: SparkSession, folder: str) -> DataFrame:
+    """(tbl, rec_id, pos, value) of every entry of jurisdiction (pos -1) and relevant_statutes."""
+    parts = []
+    for t in ("precedents", "query_cases"):
+        df = table(spark, folder, t)
+        parts.append(df.select(F.lit(t).alias("tbl"), F.col("id").alias("rec_id"), F.lit(-1).alias("pos"), F.col("jurisdiction").alias("value")))
+        parts.append(df.select(F.lit(t).alias("tbl"), F.col("id").alias("rec_id"), F.posexplode("relevant_statutes").alias("pos", "value")))
+    return reduce(DataFrame.unionByName, parts).where("value is not null")
+
+
+def p2_mapped(spark: SparkSession, folder: str) -> DataFrame:
+    """Every non-null value with the court or provision it means; ``exact`` tells values that are an entry as they stand."""
+    courts = table(spark, folder, "courts").select("court_name", "name_pattern", "level").distinct()
+    statutes = table(spark, folder, "statutes").select("id", "provision_name").distinct()
+    values = p2_values(spark, folder)
+    by_list = []
+    for rows, build, entry, picked in (
+        (courts, canon.court_matcher, 0, values.where("pos < 0")),
+        (statutes, canon.provision_matcher, 1, values.where("pos >= 0")),
+    ):
+        listed = sorted(tuple(r) for r in rows.where(F.col(rows.columns[0]).isNotNull()).limit(canon.MAX_ENTRIES + 1).collect())
+        by_list.append(canon.mapped(picked, listed, build, entry=entry))
+    return by_list[0].unionByName(by_list[1])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The values that are not an entry as they stand, with what they mean or ``unmatched``."""
+    return p2_mapped(spark, folder).where("not exact").select("tbl", "rec_id", "pos", "ref_id").distinct()
+
+
+def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of unmatched values with their number."""
+    return p2_mapped(spark, folder).where(F.col("ref_id") == canon.UNMATCHED).groupBy("tbl", "value").agg(F.count("*").alias("n"))
+
+
+def p3_labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text of the three tables with its language segments and their confidence."""
+    parts = []
+    for t in ("e6_jurisdiction", "rag_questions"):
+        df = last_delivery(table(spark, folder, t).select("id", "loaded_at", "text", "lang"), "id", "loaded_at", "text", "lang")
+        parts.append(df.select(F.lit(t).alias("tbl"), F.col("id").alias("rec_id"), "text", F.col("lang").alias("label")))
+    docs = table(spark, folder, "documents")
+    parts.append(docs.select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), "text", F.col("lang").alias("label")))
+    texts = reduce(DataFrame.unionByName, parts)
+    protos = langid.train(langid.training_rows(docs.select("text", "lang"), "text", "lang"))
+    return langid.labelled(texts, protos)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages present in every text whose label is missing or wrong."""
+    return langid.wrong_labels(p3_labelled(spark, folder))
+
+
 def p4_texts(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
     docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     prec = last_delivery(table(spark, folder, "precedents").select("id", "loaded_at", "text"), "id", "loaded_at", "text")
@@ -42,5 +97,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_leaks(spark, folder).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_leaks": p9_leaks}
+QUERIES = {"p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_labelled": p3_labelled, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_leaks": p9_leaks}
 SQL: dict[str, str] = {}
