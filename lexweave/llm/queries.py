@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import canon, langid, leakage, neardup
+from lexweave.llm import abuse, canon, langid, leakage, neardup
 from lexweave.tables import table
 
 
@@ -97,5 +97,21 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_leaks(spark, folder).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_labelled": p3_labelled, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_leaks": p9_leaks}
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The abuse score of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    windows, labels = abuse.training_windows(docs, "text")
+    return abuse.scored(docs, abuse.fit(windows, labels))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_scores(spark, folder).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The rate of abusive texts per source."""
+    return abuse.rates(p10_scores(spark, folder))
+
+
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_labelled": p3_labelled, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_leaks": p9_leaks}
 SQL: dict[str, str] = {}
