@@ -61,7 +61,7 @@ class Space:
     """Random letter vectors and bound trigrams."""
 
     def __init__(self, d: int = D, seed: int = SEED):
-        self.d, self.seed, self.letters = d, seed, {}
+        self.d, self.seed, self.letters, self.turned = d, seed, {}, {}
 
     def letter(self, c: str) -> np.ndarray:
         if c not in self.letters:
@@ -69,11 +69,17 @@ class Space:
             self.letters[c] = bits * 2 - 1
         return self.letters[c]
 
+    def rolled(self, c: str, by: int) -> np.ndarray:
+        got = self.turned.get((c, by))
+        if got is None:
+            got = self.turned[c, by] = np.roll(self.letter(c), by)
+        return got
+
     def ngram(self, g: str) -> np.ndarray:
-        """The letters' vectors, rotated by their place and multiplied."""
-        v = self.letter(g[0])
-        for c in g[1:]:
-            v = np.roll(v, 1) * self.letter(c)
+        """The letters' vectors, rotated by their place from the end and multiplied."""
+        v = self.rolled(g[0], len(g) - 1)
+        for i, c in enumerate(g[1:], 2):
+            v = v * self.rolled(c, len(g) - i)
         return v
 
     def bundle(self, counts: dict[str, float]) -> np.ndarray:
@@ -88,8 +94,8 @@ def trigrams(word: str) -> list[str]:
     return [t[i : i + 3] for i in range(len(t) - 2)]
 
 
-def train(rows: list[tuple[str, str]], rounds: int = 2) -> dict[str, np.ndarray]:
-    """Prototypes by language from (text, language) rows."""
+def train(rows: list[tuple[str, str]], rounds: int = 2) -> tuple[dict[str, np.ndarray], frozenset[str]]:
+    """Prototypes by language from (text, language) rows, and the words that are bundled in them."""
     space, words = Space(), {l: Counter() for l in LANGS}
     for text, lang in rows:
         for w in WORD.findall(text.lower()):
@@ -97,6 +103,7 @@ def train(rows: list[tuple[str, str]], rounds: int = 2) -> dict[str, np.ndarray]
                 words[lang][w] += 1
     protos: dict[str, np.ndarray] = {}
     for r in range(rounds):
+        vocabulary: set[str] = set()
         for level, cut in enumerate((trigrams, lambda w: [f" {w} "])):
             shares = {}
             for lang, c in words.items():
@@ -110,22 +117,27 @@ def train(rows: list[tuple[str, str]], rounds: int = 2) -> dict[str, np.ndarray]
                 rivals = [shares[o] for o in LANGS if o != lang and SCRIPT[o] == SCRIPT[lang]]
                 # names and borrowed words are as frequent with the rival and cancel out
                 own = {g: p - RIVAL * sum(o.get(g, 0.0) for o in rivals) for g, p in shares[lang].items()}
-                v = space.bundle({g: math.sqrt(p) for g, p in own.items() if p > 0})
+                own = {g: p for g, p in own.items() if p > 0}
+                if level:
+                    vocabulary.update(g.strip() for g in own)
+                v = space.bundle({g: math.sqrt(p) for g, p in own.items()})
                 protos.setdefault(lang, np.zeros((2, space.d), np.float32))[level] = v / (np.linalg.norm(v) or 1.0)
         if r + 1 < rounds:
-            model = Scorer(protos)
+            model = Scorer(protos, frozenset(vocabulary))
             for lang in LANGS:
                 words[lang] = Counter({w: n for w, n in words[lang].items() if model.diff(w, lang) > -VOTE})
-    return protos
+    return protos, frozenset(vocabulary)
 
 
 class Scorer:
     """Cosines of words and texts with the prototypes, kept by trigram and by word."""
 
-    def __init__(self, protos: dict[str, np.ndarray]):
+    def __init__(self, protos: dict[str, np.ndarray], vocabulary: frozenset[str]):
+        self.vocabulary = vocabulary
         self.space, self.protos = Space(), np.stack([protos[l] for l in LANGS], axis=1)
         self.by_gram: dict[str, np.ndarray] = {}
-        self.by_word: dict[str, tuple[str | None, np.ndarray, float, int]] = {}
+        self.by_word: dict[str, tuple[str | None, int, float]] = {}
+        self.dots = np.zeros((1024, len(LANGS)), np.float32)
         self.at = {l: i for i, l in enumerate(LANGS)}
         self.rivals = {s: [l for l in LANGS if SCRIPT[l] == s] for s in set(SCRIPT.values())}
 
@@ -135,78 +147,97 @@ class Scorer:
             v = self.by_gram[g] = self.protos[0] @ self.space.ngram(g).astype(np.float32)
         return v
 
-    def word(self, w: str) -> tuple[str | None, np.ndarray, float, int]:
-        """(script, products with the prototypes, vote, 1); the vote is the first rival's cosine less the second's."""
+    def word(self, w: str) -> tuple[str | None, int, float]:
+        """(script, its row in ``dots``, vote); the vote is the first rival's cosine less the second's."""
         got = self.by_word.get(w)
         if got is None:
             if len(self.by_word) > 300_000:
                 self.by_word.clear()
+            row = len(self.by_word)
+            if row == len(self.dots):
+                self.dots = np.concatenate([self.dots, np.zeros_like(self.dots)])
             gs = trigrams(w)
-            dots = np.sum([self.gram(g) for g in gs], axis=0) / math.sqrt(len(gs)) + self.protos[1] @ self.space.ngram(f" {w} ").astype(np.float32)
+            dots = np.sum([self.gram(g) for g in gs], axis=0) / math.sqrt(len(gs))
+            if w in self.vocabulary:  # the product with any other word is noise about zero
+                dots = dots + self.protos[1] @ self.space.ngram(f" {w} ").astype(np.float32)
+            self.dots[row] = dots
             s = script_of(w)
             two = self.rivals.get(s, [])
             vote = float(dots[self.at[two[0]]] - dots[self.at[two[1]]]) / math.sqrt(self.space.d) if len(two) == 2 else 0.0
-            got = self.by_word[w] = (s, dots, vote, 1)
+            got = self.by_word[w] = (s, row, vote)
         return got
 
+    def confidence(self, rows: list[int], lang: str) -> float:
+        """The share of a language among the exponentials of the cosines of the words' bundle."""
+        cos = self.dots[rows].sum(axis=0) / math.sqrt(len(rows) * self.space.d)
+        z = np.exp(np.clip((cos - cos[self.at[lang]]) * 12, -50, 50))
+        return float(1 / z.sum())
+
     def diff(self, w: str, lang: str) -> float:
         """How much better a word fits its language than the rival of the same script."""
-        s, _, vote, _ = self.word(w)
+        s, _, vote = self.word(w)
         two = self.rivals.get(s, [])
         return 0.0 if len(two) < 2 or lang not in two else vote if two[0] == lang else -vote
 
 
+def _decode(votes: list[float], two: list[str]) -> list[str]:
+    """The cheapest chain of the two languages of a script over the words' votes."""
+    a = b = 0.0
+    back = []
+    for v in votes:
+        v = (CAP if v > CAP else -CAP if v < -CAP else v) / 2
+        fa, fb = a < b - SWITCH, b < a - SWITCH
+        a, b = (b - SWITCH if fa else a) + v, (a - SWITCH if fb else b) - v
+        back.append((fa, fb))
+    state, path = (0 if a >= b else 1), []
+    for step in reversed(back):
+        path.append(two[state])
+        if step[state]:
+            state = 1 - state
+    return path[::-1]
+
+
 def segments(text: str, model: Scorer, run: int = 4) -> list[tuple[str, float, int, int, int]]:
     """(language, confidence, start, end, words) of the segments of a text, in order."""
-    found = [(m.start(), m.end(), *model.word(m.group())) for m in WORD.finditer(text.lower())]
-    found = [f for f in found if f[2] is not None]
-    if not found:
+    spans, scripts, rows, votes, known = [], [], [], [], model.by_word
+    for m in WORD.finditer(text.lower()):
+        w = m.group()
+        s, row, vote = known.get(w) or model.word(w)
+        if s is not None:
+            spans.append(m.span())
+            scripts.append(s)
+            rows.append(row)
+            votes.append(vote)
+    n = len(spans)
+    if not n:
         return []
     langs: list[str] = []
     i = 0
-    while i < len(found):
-        j = i
-        s = found[i][2]
-        while j < len(found) and found[j][2] == s:
+    while i < n:
+        s, j = scripts[i], i + 1
+        while j < n and scripts[j] == s:
             j += 1
         two = model.rivals[s]
-        if len(two) == 1:
-            langs += two * (j - i)
-        else:
-            a = b = 0.0
-            back = []
-            for f in found[i:j]:
-                v = max(-CAP, min(CAP, f[4])) / 2
-                fa, fb = a < b - SWITCH, b < a - SWITCH
-                a, b = (b - SWITCH if fa else a) + v, (a - SWITCH if fb else b) - v
-                back.append((fa, fb))
-            state, path = (0 if a >= b else 1), []
-            for fa, fb in reversed(back):
-                path.append(two[state])
-                if (fa, fb)[state]:
-                    state = 1 - state
-            langs += path[::-1]
+        langs += _decode(votes[i:j], two) if len(two) == 2 else two * (j - i)
         i = j
     out, i = [], 0
-    while i < len(found):
-        j = i
-        while j < len(found) and langs[j] == langs[i]:
+    while i < n:
+        lang, j = langs[i], i + 1
+        while j < n and langs[j] == lang:
             j += 1
-        lang, part = langs[i], found[i:j]
-        two = model.rivals[SCRIPT[lang]]
-        sure = j - i if len(two) == 1 else sum((f[4] if two[0] == lang else -f[4]) > VOTE for f in part)
-        dots = np.sum([f[3] for f in part], axis=0) / math.sqrt(sum(f[5] for f in part) * model.space.d)
-        z = np.exp(np.clip((dots - dots[model.at[lang]]) * math.sqrt(len(part)) * 12, -50, 50))
-        if j - i >= run and sure >= run - 1:
-            out.append((lang, float(1 / z.sum()), part[0][0], part[-1][1], j - i))
+        if j - i >= run:
+            two = model.rivals[SCRIPT[lang]]
+            sign = 1 if two[0] == lang else -1
+            sure = j - i if len(two) == 1 else sum(sign * v > VOTE for v in votes[i:j])
+            if sure >= run - 1:
+                out.append((lang, model.confidence(rows[i:j], lang), spans[i][0], spans[j - 1][1], j - i))
         i = j
     if not out:
-        votes = np.sum([f[3] for f in found], axis=0)
-        count = Counter(f[2] for f in found)
+        count = Counter(scripts)
         s = max(count, key=lambda x: (count[x], x))
-        best = max(model.rivals[s], key=lambda l: votes[model.at[l]])
-        z = np.exp(np.clip((votes - votes[model.at[best]]) / math.sqrt(sum(f[5] for f in found) * model.space.d) * 12, -50, 50))
-        out = [(best, float(1 / z.sum()), found[0][0], found[-1][1], len(found))]
+        cos = model.dots[rows].sum(axis=0)
+        best = max(model.rivals[s], key=lambda l: cos[model.at[l]])
+        out = [(best, model.confidence(rows, best), spans[0][0], spans[-1][1], n)]
     return out
 
 
@@ -229,12 +260,12 @@ def training_rows(df: DataFrame, text: str, label: str, max_rows: int = 6000) ->
     return [(r["t"], r["l"]) for r in rows.withColumn("r", first).where(F.col("r") <= each).select(F.substring("t", 1, 4000).alias("t"), "l").collect()]
 
 
-def labelled(texts: DataFrame, protos: dict[str, np.ndarray], run: int = 4) -> DataFrame:
+def labelled(texts: DataFrame, trained: tuple[dict[str, np.ndarray], frozenset[str]], run: int = 4) -> DataFrame:
     """(tbl, rec_id, label, segments array<struct<lang, confidence, start, end, words>>) of rows (tbl, rec_id, text, label)."""
-    shared = texts.sparkSession.sparkContext.broadcast(protos)
+    shared = texts.sparkSession.sparkContext.broadcast(trained)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Scorer(shared.value)
+        model = Scorer(*shared.value)
         for b in batches:
             segs = [[dict(zip(("lang", "confidence", "start", "end", "words"), s)) for s in segments(t, model, run)] if t else [] for t in b["text"]]
             yield pd.DataFrame({"tbl": b["tbl"], "rec_id": b["rec_id"], "label": b["label"], "segments": segs})

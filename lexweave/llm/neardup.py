@@ -7,7 +7,8 @@ probability equal to the similarity of the texts, so the expected distance falls
 
 Multi-index hashing: within each segment the Hamming ball of radius one is enumerated, as the ``width`` patterns that
 leave one symbol open; a pair meets in some table when a segment differs in at most one symbol. Meetings are verified by
-the complete 128-bit distance inside the join, and what remains by the exact similarity of the shingle sets.
+the complete 128-bit distance inside the join, then by the distance over all symbols, and what remains by the exact
+similarity of the shingle sets. The cuts lie three and four standard deviations beyond the mean at the threshold.
 
 With segments of four symbols and 14 tables a pair at the threshold of 0.5 is met with probability 0.995, a pair at 0.6
 with 0.9999; two unrelated texts that share 5 % of their shingles are met with probability 0.007 and pass the complete
@@ -28,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm._text import bare
@@ -37,7 +38,6 @@ from lexweave.session import cut
 SEGMENTS, WIDTH = 14, 4
 BITS = 128
 _M = np.uint64(0x9E3779B97F4A7C15)
-_N = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @lru_cache(maxsize=400_000)
@@ -80,63 +80,75 @@ def minima(sh: np.ndarray, n: int) -> np.ndarray:
     return best.astype(np.uint64)
 
 
-def _pack(bits: np.ndarray) -> list[int]:
-    return np.packbits(bits).view(np.int64).tolist()
-
-
 def fingerprint(sh: np.ndarray, segments: int = SEGMENTS, width: int = WIDTH) -> tuple[list[int], int, int]:
-    """Table keys of all ball members, and the 128-bit complete fingerprint as two longs."""
+    """The symbols, and the 128 bits as two longs."""
     m = minima(sh, segments * width + BITS)
-    sym = _mix(m[: segments * width]).reshape(segments, width)
-    places = (_mix(np.arange(1, segments * width + 1, dtype=np.uint64) * _N)).reshape(segments, width)
-    terms = _mix(sym ^ places)  # a symbol in its place
-    whole = terms.sum(axis=1, dtype=np.uint64)
-    patterns = _mix((whole[:, None] - terms) ^ (places * _N))  # all but one symbol, and which one is open
-    lo, hi = _pack((_mix(m[segments * width :]) >> np.uint64(40)).astype(np.uint8) & 1)
-    return patterns.reshape(-1).view(np.int64).tolist(), lo, hi
+    sym = (_mix(m[: segments * width]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    lo, hi = np.packbits((_mix(m[segments * width :]) >> np.uint64(40)).astype(np.uint8) & 1).view(np.int64).tolist()
+    return sym.tolist(), lo, hi
+
 
+def signatures(docs: DataFrame, key: str, text: str, size: int, version: str | None = None) -> DataFrame:
+    """(key, version, cls, syms, lo, hi): the class (a hash of the shingle set) and fingerprint of every text; the last version of a key holds.
 
-def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, cls, keys, lo, hi): the class (a hash of the shingle set), table keys and fingerprint of every text with a shingle."""
-    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
+    A last version without a shingle keeps its row, so that it hides the versions before it.
+    """
+    rows = docs.select(F.col(key).cast("string").alias("key"), (F.col(version) if version else F.lit(None).cast("timestamp")).alias("version"), F.col(text).alias("text"))
+    rows = rows.where("key is not null and text is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for k, t in zip(b["key"], b["text"]):
+            for t in b["text"]:
                 sh = shingles(t, size)
-                if len(sh):
-                    out.append((k, xxhash.xxh3_64_intdigest(sh.tobytes()) - 2**63, *fingerprint(sh)))
-            yield pd.DataFrame(out, columns=["key", "cls", "keys", "lo", "hi"])
+                out.append((xxhash.xxh3_64_intdigest(sh.tobytes()) - 2**63, *fingerprint(sh)) if len(sh) else (None, None, None, None))
+            yield pd.DataFrame({"key": b["key"], "version": b["version"]}).join(pd.DataFrame(out, columns=["cls", "syms", "lo", "hi"], index=b.index, dtype=object))
+
+    sig = rows.mapInPandas(run, "key string, version timestamp, cls long, syms array<int>, lo long, hi long")
+    if version:
+        sig = sig.groupBy("key").agg(F.max(F.struct("version", "cls", "syms", "lo", "hi")).alias("r")).select("key", "r.*")
+    return sig.where("cls is not null")
+
 
-    return rows.mapInPandas(run, "key string, cls long, keys array<long>, lo long, hi long")
+def _cut(n: int, p: float, deviations: float) -> int:
+    """The largest number of ``n`` places, each different with probability ``p``, that is within so many deviations of the mean."""
+    return int(n * p + deviations * (n * p * (1 - p)) ** 0.5)
 
 
-def _agree(threshold: float) -> int:
-    """The largest complete distance verified exactly: its mean at the threshold and four standard deviations more."""
-    p = (1 - threshold) / 2
-    return int(BITS * p + 4 * (BITS * p * (1 - p)) ** 0.5)
+def ball_keys(syms: str = "syms", segments: int = SEGMENTS, width: int = WIDTH) -> Column:
+    """The table keys of a fingerprint: for each segment, all patterns that leave one symbol open."""
+    keys = []
+    for s in range(segments):
+        at = [F.col(syms)[s * width + i] for i in range(width)]
+        keys += [F.xxhash64(F.lit(s * width + skip), *[c for i, c in enumerate(at) if i != skip]) for skip in range(width)]
+    return F.array(*keys)
 
 
-def similar_classes(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8, version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Links between classes by their smallest keys (key_a, key_b, jaccard), and the membership (key, cls) of every text.
 
     The texts are read twice: once for the signatures, which are written to the shared folder, and once to verify.
     """
-    sig = cut(signatures(docs, key, text, size))
+    sig = cut(signatures(docs, key, text, size, version))
     members = sig.select("key", "cls")
-    reps = sig.groupBy("cls").agg(F.first("keys").alias("keys"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    index = reps.select("cls", "lo", "hi", F.explode("keys").alias("k"))
+    reps = sig.groupBy("cls").agg(F.min(F.struct("key", "version")).alias("r"), *[F.first(c).alias(c) for c in ("syms", "lo", "hi")])
+    index = reps.select("cls", "lo", "hi", F.explode(ball_keys()).alias("k"))
     a, b = (index.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "lo", "hi")], "k") for s in "ab")
     apart = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
-    met = a.join(b, "k").where((F.col("cls_a") < F.col("cls_b")) & (apart <= _agree(threshold)))
+    met = a.join(b, "k").where((F.col("cls_a") < F.col("cls_b")) & (apart <= _cut(BITS, (1 - threshold) / 2, 3)))
     met = met.select("cls_a", "cls_b").distinct()
-    rep = members.groupBy("cls").agg(F.min("key").alias("key"))
-    met = met.join(rep.select(F.col("cls").alias("cls_a"), F.col("key").alias("key_a")), "cls_a")
-    met = met.join(rep.select(F.col("cls").alias("cls_b"), F.col("key").alias("key_b")), "cls_b").select("key_a", "key_b")
-    texts = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    both = met.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
-    both = both.join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
+    # the other layer of the fingerprint: its symbols, a byte of each
+    byte = F.transform("syms", lambda x: x.bitwiseAND(127).cast("byte"))
+    rep = reps.select("cls", "r.key", "r.version", byte.alias("syms"))
+    for s in "ab":
+        met = met.join(rep.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "key", "version", "syms")]), f"cls_{s}")
+    differ = F.aggregate(F.zip_with("syms_a", "syms_b", lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, x: n + x)
+    met = met.where(differ <= _cut(SEGMENTS * WIDTH, 1 - threshold, 4)).select("key_a", "version_a", "key_b", "version_b")
+    texts = docs.select(F.col(key).cast("string").alias("key"), (F.col(version) if version else F.lit(None).cast("timestamp")).alias("version"), F.col(text).alias("text"))
+    both = met
+    for s in "ab":
+        side = texts.select(F.col("key").alias(f"key_{s}"), F.col("version").alias("_v"), F.col("text").alias(f"text_{s}"))
+        both = both.join(side, f"key_{s}").where(F.col("_v").eqNullSafe(F.col(f"version_{s}"))).drop("_v")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cached = lru_cache(maxsize=512)(lambda t: shingles(t, size))
@@ -145,7 +157,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, size: int = 5, thresho
             for ka, kb, ta, tb in zip(b["key_a"], b["key_b"], b["text_a"], b["text_b"]):
                 x, y = cached(ta), cached(tb)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                j = common / (len(x) + len(y) - common)
+                j = common / max(1, len(x) + len(y) - common)
                 if j >= threshold:
                     out.append((ka, kb, j))
             yield pd.DataFrame(out, columns=["key_a", "key_b", "jaccard"])
@@ -154,9 +166,9 @@ def similar_classes(docs: DataFrame, key: str, text: str, size: int = 5, thresho
     return linked, members
 
 
-def pairs(docs: DataFrame, key: str, text: str, size: int, threshold: float) -> DataFrame:
+def pairs(docs: DataFrame, key: str, text: str, size: int, threshold: float, version: str | None = None) -> DataFrame:
     """(key_a < key_b): every pair of keys whose texts are similar, copies expanded."""
-    linked, members = similar_classes(docs, key, text, size, threshold)
+    linked, members = similar_classes(docs, key, text, size, threshold, version)
     rep = members.groupBy("cls").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
     of = members.join(rep, "cls").select("rep", "key", "n")
     x, y = of.select(F.col("rep").alias("key_a"), F.col("key").alias("x")), of.select(F.col("rep").alias("key_b"), F.col("key").alias("y"))
@@ -166,9 +178,9 @@ def pairs(docs: DataFrame, key: str, text: str, size: int, threshold: float) ->
     return across.unionByName(within).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
-def groups(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8) -> DataFrame:
+def groups(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8, version: str | None = None) -> DataFrame:
     """(key, cls, copies, links): the class of every text, how many copies it has, and to how many other classes it is linked."""
-    linked, members = similar_classes(docs, key, text, size, threshold)
+    linked, members = similar_classes(docs, key, text, size, threshold, version)
     rep = members.groupBy("cls").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
     ends = linked.select(F.explode(F.array("key_a", "key_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     info = rep.join(ends, "rep", "left").select("cls", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -61,8 +61,8 @@ def p3_labelled(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     parts.append(docs.select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), "text", F.col("lang").alias("label")))
     texts = reduce(DataFrame.unionByName, parts)
-    protos = langid.train(langid.training_rows(docs.select("text", "lang"), "text", "lang"))
-    return langid.labelled(texts, protos)
+    trained = langid.train(langid.training_rows(docs.select("text", "lang"), "text", "lang"))
+    return langid.labelled(texts, trained)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,21 +70,22 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return langid.wrong_labels(p3_labelled(spark, folder))
 
 
-def p4_texts(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
+def p4_texts(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, str | None]]:
+    """(table, texts, column that orders the deliveries of a key)."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
-    prec = last_delivery(table(spark, folder, "precedents").select("id", "loaded_at", "text"), "id", "loaded_at", "text")
-    return [("documents", docs), ("precedents", prec.select("id", F.concat_ws(" ", "text").alias("text")))]
+    prec = table(spark, folder, "precedents").select("id", "loaded_at", F.concat_ws(" ", "text").alias("text"))
+    return [("documents", docs, None), ("precedents", prec, "loaded_at")]
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of texts that share half of their three-word sequences."""
-    parts = [neardup.pairs(df, "id", "text", 3, 0.5).select(F.lit(t).alias("tbl"), "key_a", "key_b") for t, df in p4_texts(spark, folder)]
+    parts = [neardup.pairs(df, "id", "text", 3, 0.5, v).select(F.lit(t).alias("tbl"), "key_a", "key_b") for t, df, v in p4_texts(spark, folder)]
     return parts[0].unionByName(parts[1])
 
 
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Class and links of every text, at five words and a similarity of 0.8."""
-    parts = [neardup.groups(df, "id", "text").withColumn("tbl", F.lit(t)) for t, df in p4_texts(spark, folder)]
+    parts = [neardup.groups(df, "id", "text", version=v).withColumn("tbl", F.lit(t)) for t, df, v in p4_texts(spark, folder)]
     return parts[0].unionByName(parts[1])
 
 
