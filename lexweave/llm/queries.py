@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import abuse, canon, langid, leakage, neardup
+from lexweave.llm import abuse, canon, consensus, langid, leakage, neardup
 from lexweave.tables import table
 
 
@@ -89,6 +89,51 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+#: The labels of each judged table, in order.
+P5_CLASSES = {
+    "e9_procedure_temporal": ["0", "1", "2"],
+    "e4_multilingual": ["0", "1", "2"],
+    "treatment": ["followed", "doubted", "overruled", "other"],
+}
+
+
+def p5_ratings(spark: SparkSession, folder: str) -> DataFrame:
+    """(tbl, unit, doc_id, judge, label): each judge's last valid label of each item."""
+    parts = []
+    for t, unit in (("e9_procedure_temporal", "query_id"), ("e4_multilingual", "unit_id")):
+        df = table(spark, folder, t)
+        doc = F.lower(F.trim(F.col("doc_id"))).alias("doc_id")
+        label = F.when(F.col("grade").isin(0, 1, 2), F.col("grade").cast("string")).alias("label")
+        parts.append(df.select(F.lit(t).alias("tbl"), F.col(unit).alias("unit"), doc, "judge", F.col("judged_at").alias("at"), label))
+    df = table(spark, folder, "treatment")
+    typed = F.regexp_replace(F.lower("label_treatment"), "[^a-z]", "")
+    near = [F.when((typed == x) | ((F.length(typed) > 3) & (F.levenshtein(typed, F.lit(x)) <= 2)), F.lit(x)) for x in P5_CLASSES["treatment"]]
+    parts.append(df.select(F.lit("treatment").alias("tbl"), F.col("id").alias("unit"), F.lit("").alias("doc_id"), F.col("annotator").alias("judge"), F.col("labelled_at").alias("at"), F.coalesce(*near).alias("label")))
+    return consensus.last_valid(reduce(DataFrame.unionByName, parts))
+
+
+def p5_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item with its consensus label, confidence and agreement."""
+    return consensus.fit(p5_ratings(spark, folder), P5_CLASSES)[0]
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The consensus of the items whose judges disagree."""
+    return p5_items(spark, folder).where("n_labels > 1").select("tbl", "unit", "doc_id", "label")
+
+
+def p5_judges(spark: SparkSession, folder: str) -> DataFrame:
+    """The reliability of every judge."""
+    _, fitted = consensus.fit(p5_ratings(spark, folder), P5_CLASSES)
+    return spark.createDataFrame(consensus.reliability(fitted, P5_CLASSES), "tbl string, judge string, reliability double")
+
+
+def p5_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Observed and chance-corrected agreement of every table."""
+    ratings = p5_ratings(spark, folder)
+    return consensus.agreement(consensus.fit(ratings, P5_CLASSES, rounds=1)[0], ratings)
+
+
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and the test items it contains, with extent and place."""
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
@@ -114,5 +159,5 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, folder))
 
 
-QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_labelled": p3_labelled, "p4_found": p4_found, "p4_groups": p4_groups, "p9_found": p9_found, "p9_leaks": p9_leaks}
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_labelled": p3_labelled, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_items": p5_items, "p5_judges": p5_judges, "p5_agreement": p5_agreement, "p9_found": p9_found, "p9_leaks": p9_leaks}
 SQL: dict[str, str] = {}
