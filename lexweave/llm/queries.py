@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import abuse, canon, consensus, langid, leakage, neardup
+from lexweave.llm import abuse, canon, consensus, langid, leakage, neardup, packing, pieces
 from lexweave.tables import table
 
 
@@ -134,6 +134,34 @@ def p5_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.agreement(consensus.fit(ratings, P5_CLASSES, rounds=1)[0], ratings)
 
 
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every oversized document and paragraph."""
+    docs = table(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), F.lit(0).alias("para"), "text")
+    parts = [pieces.split(docs, 6000, 200)]
+    for t in ("precedents", "query_cases"):
+        df = table(spark, folder, t).select("id", "loaded_at", F.transform("text", lambda x, i: F.struct(i.cast("int").alias("para"), x.alias("text"))).alias("paras"))
+        # only the oversized paragraphs of each delivery are moved to find the last one
+        big = df.select("id", "loaded_at", F.filter("paras", lambda p: F.length(p["text"]) > 1500).alias("paras"))
+        last = last_delivery(big, "id", "loaded_at", "paras").select(F.lit(t).alias("tbl"), F.col("id").alias("rec_id"), F.inline("paras"))
+        parts.append(pieces.split(last, 1500, 100))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The oversized items that were cut into pieces."""
+    return p7_pieces(spark, folder).select("tbl", "rec_id", "para").distinct()
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document or part of one."""
+    return packing.packed(table(spark, folder, "documents"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill(p8_packed(spark, folder))
+
+
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and the test items it contains, with extent and place."""
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
@@ -159,5 +187,12 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, folder))
 
 
-QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_labelled": p3_labelled, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_items": p5_items, "p5_judges": p5_judges, "p5_agreement": p5_agreement, "p9_found": p9_found, "p9_leaks": p9_leaks}
-SQL: dict[str, str] = {}
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_labelled": p3_labelled, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_items": p5_items, "p5_judges": p5_judges, "p5_agreement": p5_agreement, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks}
+SQL: dict[str, str] = {
+    "p7_found": """
+        SELECT 'documents' AS tbl, CAST(doc_id AS VARCHAR) AS rec_id, 0 AS para FROM documents WHERE length(text) > 6000
+        UNION ALL SELECT tbl, id, CAST(i - 1 AS INTEGER) FROM (
+          SELECT tbl, id, unnest(generate_series(1, len(t))) AS i, t FROM (
+            SELECT 'precedents' AS tbl, id, max({'a': loaded_at, 'b': text}).b AS t FROM precedents GROUP BY id
+            UNION ALL SELECT 'query_cases', id, max({'a': loaded_at, 'b': text}).b FROM query_cases GROUP BY id)) WHERE length(t[i]) > 1500""",
+}
