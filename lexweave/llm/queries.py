@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import abuse, canon, consensus, langid, leakage, neardup, packing, pieces
+from lexweave.llm import abuse, canon, consensus, langid, leakage, neardup, packing, pieces, sentences
 from lexweave.tables import table
 
 
@@ -134,6 +134,14 @@ def p5_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.agreement(consensus.fit(ratings, P5_CLASSES, rounds=1)[0], ratings)
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The end of every sentence unit of documents and treatment passages."""
+    docs = table(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), "text")
+    passages = table(spark, folder, "treatment").select(F.lit("treatment").alias("tbl"), F.col("id").alias("rec_id"), F.col("sentence").alias("text")).distinct()
+    texts = docs.unionByName(passages)
+    return sentences.units(texts, sentences.train(sentences.training_texts(docs, "text")))
+
+
 def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every oversized document and paragraph."""
     docs = table(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), F.lit(0).alias("para"), "text")
@@ -187,7 +195,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, folder))
 
 
-QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_labelled": p3_labelled, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_items": p5_items, "p5_judges": p5_judges, "p5_agreement": p5_agreement, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks}
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_labelled": p3_labelled, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_items": p5_items, "p5_judges": p5_judges, "p5_agreement": p5_agreement, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks}
 SQL: dict[str, str] = {
     "p7_found": """
         SELECT 'documents' AS tbl, CAST(doc_id AS VARCHAR) AS rec_id, 0 AS para FROM documents WHERE length(text) > 6000
