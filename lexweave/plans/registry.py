@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexweave.plans import orphans
+from lexweave.plans import orphans, search
 
-FLAGSHIP = "p1_found"
-_MODULES = (orphans,)
+FLAGSHIP = "bm25_topk"
+_MODULES = (orphans, search)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
