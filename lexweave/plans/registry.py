@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexweave.plans import orphans, search
+from lexweave.plans import orphans, relations, search
 
 FLAGSHIP = "bm25_topk"
-_MODULES = (orphans, search)
+_MODULES = (orphans, search, relations)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

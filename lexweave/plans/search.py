@@ -98,7 +98,7 @@ def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 def _zoned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     rows = paragraphs(spark, folder).select("doc_id", "zone", F.explode(words(F.col("text"))).alias("term"))
     q = table(spark, folder, "rag_questions").where("id is not null and text is not null").groupBy("id").agg(F.max(F.struct("loaded_at", "text")).alias("r"))
-    q = q.where("cast(substring(id, 2) as int) % 20 = 0").select(F.col("id").alias("query_id"), F.col("r.text").alias("text"))
+    q = q.where("try_cast(substring(id, 2) as int) % 20 = 0").select(F.col("id").alias("query_id"), F.col("r.text").alias("text"))
     return ix.postings(rows, ("zone",)), ix.length_norms(ix.zone_lengths(rows), 1.0, "zone"), sc.query_terms(q, "query_id", "text"), rows
 
 
@@ -180,7 +180,7 @@ def statute_bridge(spark: SparkSession, folder: str) -> DataFrame:
     st = table(spark, folder, "statutes").groupBy("id").agg(F.max(F.struct("loaded_at", "text")).alias("r")).select(F.col("id").alias("doc_id"), F.concat_ws(" ", "r.text").alias("text"))
     _, _, terms, _ = _zoned(spark, folder)
     post, stats, norms = sc.search_tables(st, "doc_id", "text")
-    hits = sc.bm25(terms, post, stats, norms)
+    hits = sc.bm25(terms, post, stats, norms).withColumn("score", F.round("score", 9))  # equal provisions tie exactly
     prec = table(spark, folder, "precedents").select(F.col("id").alias("doc_id"), F.explode("relevant_statute_ids").alias("ref")).where("ref is not null")
     return sc.topk(_round(sc.bridge(hits, prec).withColumnRenamed("boost", "score"), "score"), 10)
 
@@ -308,7 +308,7 @@ SQL = {
         sd AS (SELECT doc_id, regexp_extract_all(lower(array_to_string(t, ' ')), '{W}') AS w FROM s0), sl AS (SELECT doc_id, len(w) / avg(len(w)) OVER () AS norm FROM sd),
         sp AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM sd) GROUP BY 1, 2),
         ss AS (SELECT term, ln(((SELECT count(*) FROM sd) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM sp GROUP BY 1),
-        sb AS (SELECT query_id, doc_id, sum(weight * idf * tf * 2.6 / (tf + 1.6 * norm)) AS score FROM zq JOIN ss USING (term) JOIN sp USING (term) JOIN sl USING (doc_id) GROUP BY 1, 2),
+        sb AS (SELECT query_id, doc_id, round(sum(weight * idf * tf * 2.6 / (tf + 1.6 * norm)), 9) AS score FROM zq JOIN ss USING (term) JOIN sp USING (term) JOIN sl USING (doc_id) GROUP BY 1, 2),
         sh AS (SELECT * FROM sb QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) <= 10),
         sn AS (SELECT query_id, doc_id AS ref, score / max(score) OVER (PARTITION BY query_id) AS s FROM sh),
         ci AS (SELECT DISTINCT doc_id, ref FROM (SELECT id AS doc_id, unnest(relevant_statute_ids) AS ref FROM precedents) WHERE ref IS NOT NULL),
