@@ -97,7 +97,7 @@ def decision_date(text: str | None) -> str | None:
     return max((d for _, d in found), default=None)
 
 
-_QUANTITY = re.compile(r"(?:rs\.?|₹|rupees)\s*([\d,]+(?:\.\d+)?)|([\w-]+(?:\s(?:and\s)?[\w-]+){0,3}?|\d[\d,]*)\s+(years?|months?|days?|hours?|rupees|lakh rupees)\b", re.I)
+_QUANTITY = re.compile(r"(?:rs\.?|₹|rupees)\s*(\d[\d,]*(?:\.\d+)?)|([\w-]+(?:\s(?:and\s)?[\w-]+){0,3}?|\d[\d,]*)\s+(years?|months?|days?|hours?|rupees|lakh rupees)\b", re.I)
 
 
 def quantities(text: str | None) -> list[dict]:

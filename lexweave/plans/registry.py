@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexweave.plans import orphans, relations, search
+from lexweave.plans import orphans, relations, search, texts
 
 FLAGSHIP = "bm25_topk"
-_MODULES = (orphans, search, relations)
+_MODULES = (orphans, search, relations, texts)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
