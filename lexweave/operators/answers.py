@@ -13,7 +13,7 @@ from lexweave.functions.legal import quantities, section_mentions
 from lexweave.functions.text import words
 
 #: Where a sentence ends for extraction: an end mark, white space and a capital, not behind a short abbreviation.
-SENTENCE = r"(?<![ .](?:[A-Z]|Mr|Dr|Smt|vs|No|Sec|Rs|Ext|cl))(?<=[.!?])\s+(?=[A-Z\"“(\[])"
+SENTENCE = r"(?<!\b(?:[A-Z]|Mr|Dr|Smt|vs|v|No|Sec|Rs|Ext|cl)\.)(?<=[.!?])\s+(?=[A-Z\"“(\[])"
 
 
 def sentences(text: Column) -> Column:

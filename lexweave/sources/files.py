@@ -95,7 +95,9 @@ def list_column(value: str) -> "F.Column":
 def statute_sections(df: DataFrame, text: str = "text") -> DataFrame:
     """(section, title, body) of an act in plain text, cut at its headings ``12A. Title.-``."""
     parts = F.split(text, r"(?m)(?=^\d{1,4}[A-Z]?\. [A-Z])")
-    rows = df.select(F.explode(parts).alias("p")).where(F.col("p").rlike(r"^\d{1,4}[A-Z]?\. "))
-    head = r"(?s)^(\d{1,4}[A-Z]?)\. (.*?)(?:\.\s*[-—–]+|\n)(.*)$"
-    got = rows.select(F.regexp_extract("p", head, 1).alias("section"), F.trim(F.regexp_extract("p", head, 2)).alias("title"), F.trim(F.regexp_extract("p", head, 3)).alias("body"))
-    return got.where("section <> ''").dropDuplicates(["section"])
+    rows = df.select(F.posexplode(parts).alias("i", "p")).where(F.col("p").rlike(r"^\d{1,4}[A-Z]?\. "))
+    head = r"(?s)^(\d{1,4}[A-Z]?)\. (.*?)\.?(?:\s*[-—–]+|\n)(.*)$"
+    field = lambda n: F.trim(F.regexp_extract("p", head, n))
+    got = rows.select("i", field(1).alias("section"), field(2).alias("title"), field(3).alias("body")).where("section <> ''")
+    first = got.groupBy("section").agg(F.min(F.struct("i", "title", "body")).alias("r"))  # the first of a number wins
+    return first.select("section", "r.title", "r.body")
