@@ -49,7 +49,7 @@ def edit_distance(a: str, b: str, limit: int) -> int:
             row.append(cost)
         if min(row) > limit:
             return limit + 1
-    return row[-1]
+    return min(row[-1], limit + 1)
 
 
 class GramIndex:
