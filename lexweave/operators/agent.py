@@ -49,7 +49,7 @@ def plan(queries: DataFrame, salient: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def run_round(subs: DataFrame, post: DataFrame, stats: DataFrame, norms: DataFrame, depth: int = 50) -> DataFrame:
+def run_round(subs: DataFrame, post: DataFrame, stats: DataFrame, norms: DataFrame | None = None, depth: int = 50) -> DataFrame:
     """(query_id, sub, doc_id, score, rank, weight): every sub-query of the batch in one search."""
     keyed = subs.withColumn("_k", F.concat_ws("#", F.col("query_id").cast("string"), F.col("sub").cast("string")))
     terms = sc.query_terms(keyed, "_k", "text")

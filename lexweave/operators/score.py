@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.text import words
 from lexweave.operators import index as ix
+from lexweave.session import cut
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str, tokens: Column | None = None) -> DataFrame:
@@ -43,9 +44,10 @@ def topk(scores: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def bm25(terms: DataFrame, post: DataFrame, stats: DataFrame, norms: DataFrame, k1: float = 1.6) -> DataFrame:
-    """(query_id, doc_id, score) by BM25 with length norms."""
-    hits = post.join(terms.join(stats.select("term", "idf_bm25"), "term"), "term").join(norms, "doc_id")
+def bm25(terms: DataFrame, post: DataFrame, stats: DataFrame, norms: DataFrame | None = None, k1: float = 1.6) -> DataFrame:
+    """(query_id, doc_id, score) by BM25 with length norms, which the postings carry where ``norms`` is None."""
+    hits = post.join(terms.join(stats.select("term", "idf_bm25"), "term"), "term")
+    hits = hits if norms is None else hits.join(norms, "doc_id")
     part = F.col("weight") * F.col("idf_bm25") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * F.col("norm"))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
@@ -221,6 +223,26 @@ def linear(features: DataFrame, weights: dict[str, float]) -> DataFrame:
     return features.select("query_id", "doc_id", sum((F.lit(w) * F.coalesce(F.col(f), F.lit(0.0)) for f, w in weights.items()), F.lit(0.0)).alias("score"))
 
 
+def query_tables(docs: DataFrame, doc_id: str, text: str, terms: DataFrame, b: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(postings with tf, norm; statistics) of the terms a batch asks for.
+
+    Texts are cut into words once. Words no query has are dropped before the only shuffle, so what moves grows with the hits
+    and not with the corpus; every document also sends one row without a term, from which the totals are taken. The hits are
+    written to the shared folder once: totals, statistics and scores read them there instead of cutting the texts again.
+    """
+    toks = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w"))
+    rows = toks.select("doc_id", F.size("_w").alias("len"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
+    asked = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("")))
+    post = cut(candidates_for(rows, asked).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")))
+    one = F.col("term") == ""
+    totals = post.agg(F.sum(F.when(one, 1)).alias("n"), F.avg(F.when(one, F.col("len"))).alias("avg_len"))
+    norm = F.when(F.col("avg_len") > 0, F.lit(1.0 - b) + F.lit(b) * F.col("len") / F.col("avg_len")).otherwise(F.lit(1.0))
+    df = post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(totals.select("n")))
+    n = F.col("n").cast("double")
+    stats = df.select("term", "df", "cf", ix.idf_log10(n, F.col("df")).alias("idf_log10"), ix.idf_bm25(n, F.col("df")).alias("idf_bm25"))
+    return post.crossJoin(F.broadcast(totals)).select("term", "doc_id", "tf", norm.alias("norm")), stats
+
+
 def search_tables(docs: DataFrame, doc_id: str, text: str, b: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, statistics, norms) of one corpus."""
     post = ix.postings(ix.token_rows(docs, doc_id, text))

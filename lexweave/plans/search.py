@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexweave.functions.text import words
 from lexweave.operators import index as ix
 from lexweave.operators import score as sc
-from lexweave.tables import table
+from lexweave.tables import spread, table
 
 ZONES = {"facts": 1.0, "arguments": 0.5, "ratio": 2.0, "decision": 1.5}
 #: Rhetorical role labels and the zones they stand for.
@@ -16,18 +16,18 @@ ROLE_ZONE = {"Facts": "facts", "Issue": "facts", "PetArg": "arguments", "RespArg
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text").where("text is not null")
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).where("text is not null")
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "eval_items").where("item_id % 20 = 0 and text is not null").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _search(spark: SparkSession, folder: str, b: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+def _search(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, query terms, postings of these terms, their statistics)."""
     d = docs(spark, folder)
     terms = sc.query_terms(items(spark, folder), "query_id", "text")
-    post, stats, norms = sc.search_tables(d, "doc_id", "text", b)
-    return d, terms, post, stats, norms
+    return d, terms, *sc.query_tables(d, "doc_id", "text", terms)
 
 
 def _round(df: DataFrame, *cols: str) -> DataFrame:
@@ -54,18 +54,18 @@ def doc_length_norms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def query_term_pruning(spark: SparkSession, folder: str) -> DataFrame:
-    _, terms, _, stats, _ = _search(spark, folder)
+    _, terms, _, stats = _search(spark, folder)
     return _round(sc.prune(terms, stats, 10).select("query_id", "term", "weight", "idf_bm25"), "idf_bm25")
 
 
 def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
-    _, terms, post, stats, norms = _search(spark, folder)
-    return sc.bm25(terms, sc.candidates_for(post, terms), stats, norms)
+    _, terms, post, stats = _search(spark, folder)
+    return sc.bm25(terms, post, stats)
 
 
 def tfidf_scores(spark: SparkSession, folder: str) -> DataFrame:
-    _, terms, post, stats, _ = _search(spark, folder)
-    return sc.tfidf(terms, post, stats)
+    d, terms, _, stats = _search(spark, folder)
+    return sc.tfidf(terms, ix.postings(ix.token_rows(d, "doc_id", "text")), stats)  # the documents' norms need all their words
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +136,7 @@ def tier_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def qpp_pre_post(spark: SparkSession, folder: str) -> DataFrame:
-    d, terms, _, stats, _ = _search(spark, folder)
+    d, terms, _, stats = _search(spark, folder)
     pre = sc.qpp_pre(terms, stats, d.agg(F.count("*").alias("n")))
     post = sc.qpp_post(sc.topk(bm25_scores(spark, folder), 10))
     both = pre.join(post, "query_id").withColumn("confidence", sc.confidence(F.col("max_idf"), F.col("gap")))
@@ -187,9 +187,9 @@ def statute_bridge(spark: SparkSession, folder: str) -> DataFrame:
 
 def explain_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Frequency, idf and part of every term of the best hit of a query."""
-    _, terms, post, stats, norms = _search(spark, folder)
-    first = sc.topk(bm25_scores(spark, folder), 1).select("query_id", "doc_id")
-    rows = first.join(terms, "query_id").join(post, ["doc_id", "term"]).join(stats, "term").join(norms, "doc_id")
+    _, terms, post, stats = _search(spark, folder)
+    first = sc.topk(sc.bm25(terms, post, stats), 1).select("query_id", "doc_id")
+    rows = first.join(terms, "query_id").join(post, ["doc_id", "term"]).join(stats, "term")
     part = F.col("weight") * F.col("idf_bm25") * F.col("tf") * 2.6 / (F.col("tf") + 1.6 * F.col("norm"))
     return _round(rows.select("query_id", "doc_id", "term", "tf", "df", part.alias("part")), "part")
 

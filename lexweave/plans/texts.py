@@ -129,7 +129,9 @@ def clause_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
 def rocchio_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Feedback terms from the first five of each ranking against the next five."""
-    _, _, post, stats, _ = se._search(spark, folder)
+    d = se.docs(spark, folder)
+    post = ix.postings(ix.token_rows(d, "doc_id", "text"))
+    stats = ix.term_stats(post, d.agg(F.count("*").alias("n")))
     head = sc.topk(se.bm25_scores(spark, folder), 10).select("query_id", "doc_id", (F.col("rank") <= 5).alias("relevant"))
     return se._round(sc.rocchio(head, post, stats), "weight")
 
@@ -142,9 +144,9 @@ def duplicate_collapse(spark: SparkSession, folder: str) -> DataFrame:
 
 def research_round(spark: SparkSession, folder: str) -> DataFrame:
     """Planned sub-queries of every item, searched in one batch and fused."""
-    _, terms, post, stats, norms = se._search(spark, folder)
+    _, terms, post, stats = se._search(spark, folder)
     salient = sc.prune(terms, stats.select("term", "idf_bm25"), 8).select("query_id", "term")
-    found = ag.run_round(ag.plan(se.items(spark, folder), salient), post, stats, norms)
+    found = ag.run_round(ag.plan(se.items(spark, folder), salient), post, stats)
     return ag.fuse_round(found).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", F.array_join(F.transform("found_by", lambda x: x.cast("string")), ",").alias("found_by"))
 
 
@@ -181,7 +183,7 @@ def checked_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, folder: str) -> DataFrame:
-    d, terms, _, _, _ = se._search(spark, folder)
+    d, terms, _, _ = se._search(spark, folder)
     head = sc.topk(se.bm25_scores(spark, folder), 3)
     return an.snippet(head, d.select("doc_id", F.lit(0).alias("para"), "text"), terms)
 
