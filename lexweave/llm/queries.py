@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import abuse, canon, consensus, langid, leakage, neardup, packing, pieces, sentences
-from lexweave.tables import table
+from lexweave.tables import spread, table
 
 
 def last_delivery(df: DataFrame, key: str, at: str, *cols: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p3_labelled(spark: SparkSession, folder: str) -> DataFrame:
     for t in ("e6_jurisdiction", "rag_questions"):
         df = last_delivery(table(spark, folder, t).select("id", "loaded_at", "text", "lang"), "id", "loaded_at", "text", "lang")
         parts.append(df.select(F.lit(t).alias("tbl"), F.col("id").alias("rec_id"), "text", F.col("lang").alias("label")))
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     parts.append(docs.select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), "text", F.col("lang").alias("label")))
     texts = reduce(DataFrame.unionByName, parts)
     trained = langid.train(langid.training_rows(docs.select("text", "lang"), "text", "lang"))
@@ -72,8 +72,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_texts(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, str | None]]:
     """(table, texts, column that orders the deliveries of a key)."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
-    prec = table(spark, folder, "precedents").select("id", "loaded_at", F.concat_ws(" ", "text").alias("text"))
+    docs = spread(table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
+    prec = spread(table(spark, folder, "precedents").select("id", "loaded_at", F.concat_ws(" ", "text").alias("text")))
     return [("documents", docs, None), ("precedents", prec, "loaded_at")]
 
 
@@ -136,7 +136,7 @@ def p5_agreement(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The end of every sentence unit of documents and treatment passages."""
-    docs = table(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), "text")
+    docs = spread(table(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), "text"))
     passages = table(spark, folder, "treatment").select(F.lit("treatment").alias("tbl"), F.col("id").alias("rec_id"), F.col("sentence").alias("text")).distinct()
     texts = docs.unionByName(passages)
     return sentences.units(texts, sentences.train(sentences.training_texts(docs, "text")))
@@ -162,7 +162,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document or part of one."""
-    return packing.packed(table(spark, folder, "documents"))
+    return packing.packed(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,7 +172,7 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and the test items it contains, with extent and place."""
-    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leakage.leaked(spread(table(spark, folder, "documents").select("doc_id", "text")), table(spark, folder, "eval_items"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,7 +181,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The abuse score of every document."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "source"))
     windows, labels = abuse.training_windows(docs, "text")
     return abuse.scored(docs, abuse.fit(windows, labels))
 
