@@ -95,12 +95,24 @@ class GramIndex:
         return found[0][1], found[0][2]
 
 
+def settle(found: list[tuple[float, str, str]], least: float, margin: float, check: Callable[[str, str], int | None]) -> str | None:
+    """The entry meant among scored candidates: the best one above threshold and margin that passes the exact check, or,
+    where several score alike, the only one that passes it best. ``check`` gives an entry's deviation, None where it fails."""
+    near = [(check(e, f), e) for s, e, f in found if s >= least]
+    passed = sorted((d, e) for d, e in near if d is not None)
+    if not passed:
+        return None
+    if near[0][0] is not None and (len(found) < 2 or found[0][0] - found[1][0] >= margin):
+        return near[0][1]
+    return passed[0][1] if len(passed) < 2 or passed[0][0] < passed[1][0] else None
+
+
 #: Short forms of the words that name a kind of court, and words that say nothing about which court is meant.
 COURT_SHORT = {"hc": "high court", "sc": "supreme court", "ct": "court", "highcourt": "high court", "apex": "supreme"}
 COURT_FILLER = {"in", "the", "of", "at", "judicature", "honble", "bench", "appellate", "side", "for", "state"}
 
 
-def court_matcher(courts: list[tuple[str, str, str]], threshold: float = 0.25, margin: float = 0.05) -> Callable[[str], str]:
+def court_matcher(courts: list[tuple[str, str, str]], threshold: float = 0.2, margin: float = 0.05) -> Callable[[str], str]:
     """Matches typed courts to (court_name, name_pattern, level): the kind must be the entry's, the place near one of its places."""
     places, kinds = [], defaultdict(set)
     for name, pattern, level in courts:
@@ -142,17 +154,20 @@ def court_matcher(courts: list[tuple[str, str, str]], threshold: float = 0.25, m
             return UNMATCHED if others else single[wanted]
         if not rest:
             return UNMATCHED
-        found = index.accept(" ".join(rest), threshold, margin, kinds[wanted])
-        if found is None and len(rest) > 1:  # place and seat together
+        typed = " ".join(rest)
+
+        def near_place(entry: str, form: str) -> int | None:
+            most = max(1, len(form) // 4) + 1
+            d = edit_distance(typed, form, most)
+            return d if d <= most else None
+
+        found = settle(index.best(typed, kinds[wanted]), threshold, margin, near_place)
+        if found is None and len(rest) > 1:  # place and seat together, or words beside the place
             got = {f for f in (index.accept(" ".join(p), 0.6, margin, kinds[wanted]) for n in (1, 2) for p in zip(*(rest[i:] for i in range(n)))) if f}
             entries = {e for e, _ in got}
             longest = {e for e, f in got if all(f == g or f not in g.split() for _, g in got)}
-            return next(iter(longest)) if len(longest) == 1 else next(iter(entries)) if len(entries) == 1 else UNMATCHED
-        if found is None:
-            return UNMATCHED
-        allowed = max(1, len(found[1]) // 4)
-        typed = " ".join(rest)
-        return found[0] if edit_distance(typed, found[1], allowed + 1) <= allowed + 1 or len(rest) > len(found[1].split()) else UNMATCHED
+            found = next(iter(longest)) if len(longest) == 1 else next(iter(entries)) if len(entries) == 1 else None
+        return found or UNMATCHED
 
     return match
 
@@ -163,7 +178,7 @@ ACT_FILLER = {"in", "the", "of", "and", "vindhara", "act", "code", "law"}
 _NUMBER = re.compile(r"(?<![\w.])(\d+)\s*[-(]?\s*([a-z](?![\w]))?")
 
 
-def provision_matcher(statutes: list[tuple[str, str]], threshold: float = 0.3, margin: float = 0.05) -> Callable[[str], str]:
+def provision_matcher(statutes: list[tuple[str, str]], threshold: float = 0.15, margin: float = 0.05) -> Callable[[str], str]:
     """Matches typed provisions to (id, provision_name): the number must be the entry's, the act near one that has it."""
     forms, by_number, ids, tell = [], defaultdict(dict), set(), {}
     for sid, name in statutes:
@@ -201,11 +216,9 @@ def provision_matcher(statutes: list[tuple[str, str]], threshold: float = 0.3, m
             return have.get(exact[0], UNMATCHED) if len(set(exact)) == 1 else UNMATCHED
         if all(len(w) <= 3 for w in rest if w not in ACT_FILLER):
             return UNMATCHED  # an abbreviation is spelled right or is another act's
-        got = index.accept(" ".join(w for w in rest if w not in {"in", "the"}), threshold, margin)
-        if got is None:
-            return UNMATCHED
-        code = got[0]
-        return have.get(code, UNMATCHED) if all(spelled(w, rest) for w in tell[code]) else UNMATCHED
+        found = index.best(" ".join(w for w in rest if w not in {"in", "the"}))
+        code = settle(found, threshold, margin, lambda code, _: 0 if all(spelled(w, rest) for w in tell[code]) else None)
+        return have.get(code, UNMATCHED) if code else UNMATCHED
 
     return match
 
