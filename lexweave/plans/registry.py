@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexweave.plans import orphans, relations, search, texts
+from lexweave.plans import orphans, ranking, relations, search, texts
 
 FLAGSHIP = "bm25_topk"
-_MODULES = (orphans, search, relations, texts)
+_MODULES = (orphans, search, relations, ranking, texts)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
