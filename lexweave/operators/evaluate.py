@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.operators.order import running_before
+
 
 def judged_run(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """(query_id, doc_id, rank, grade, n_rel): a run with its grades; only queries with a relevant document remain."""
@@ -91,10 +93,10 @@ def confusion(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
 
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """(auc, pos, neg) by the Mann-Whitney statistic with ties at half; only the counts per distinct score are ordered."""
+    """(auc, pos, neg) by the Mann-Whitney statistic with ties at half; the counts per distinct score are ordered by ranges."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    got = by.withColumn("w", F.col("p") * (below + F.col("n") / 2)).agg(F.sum("w").alias("w"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    ordered = running_before(by, "n", F.col("s"))
+    got = ordered.withColumn("w", F.col("p") * (F.col("before") + F.col("n") / 2)).agg(F.sum("w").alias("w"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     return got.select((F.col("w") / (F.col("pos") * F.col("neg"))).alias("auc"), "pos", "neg")
 
 

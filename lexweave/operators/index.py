@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import ngrams, plain_words, words
+from lexweave.operators.order import numbered
 
 
 def token_rows(docs: DataFrame, doc_id: str, text: str, extra: tuple[str, ...] = (), tokens: Column | None = None) -> DataFrame:
@@ -100,6 +101,6 @@ def champions(post: DataFrame, authority: DataFrame, r: int) -> DataFrame:
 
 
 def tier_one(authority: DataFrame, share: float) -> DataFrame:
-    """(doc_id): the documents of positive authority that are in the top share, by a distributed sort and limit."""
+    """(doc_id): the documents of positive authority that are in the top share, ties by the larger id."""
     n = authority.count()
-    return authority.where("g > 0").orderBy(F.desc("g"), F.desc("doc_id")).limit(int(round(share * n))).select("doc_id")
+    return numbered(authority.where("g > 0"), F.desc("g"), F.desc("doc_id")).where(F.col("position") <= int(round(share * n))).select("doc_id")
