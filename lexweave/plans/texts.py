@@ -127,6 +127,12 @@ def clause_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("pair", "n_old", "n_new", F.round("retention", 6).alias("retention"), F.round("novelty", 6).alias("novelty"), cls.alias("drift_class"), keep.alias("carry_over"))
 
 
+def code_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """The old provisions nearest to each new one, by body and by the place and offence of its first words."""
+    s = _statutes(spark, folder).where("code in ('vpc', 'vds')").select("code", "section", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"))
+    return cp.code_alignment(s.select("code", "section", F.slice("words", 1, 12).alias("title"), "words"), "vpc", "vds")
+
+
 def rocchio_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Feedback terms from the first five of each ranking against the next five."""
     d = se.docs(spark, folder)
@@ -222,11 +228,18 @@ QUERIES = {
     f.__name__: f
     for f in (
         porter_stem, suffix_stem, transliteration, soundex_buckets, kgram_candidates, spelling_best, character_bigrams, section_mentions, decision_dates, claim_quantities, punishment_extract,
-        treatment_status, bigram_containment, repealed_sections, clause_alignment, rocchio_terms, duplicate_collapse, research_round, question_routes, sub_query_votes, answer_sentences,
+        treatment_status, bigram_containment, repealed_sections, clause_alignment, code_alignment, rocchio_terms, duplicate_collapse, research_round, question_routes, sub_query_votes, answer_sentences,
         checked_answers, snippets, shingles_jaccard, cache_sweep, crosswalk_relations,
     )
 }
 SQL = {
+    "code_alignment": """WITH s0 AS (SELECT split_part(id, ':', 1) AS code, split_part(id, ':', 2) AS section, regexp_extract_all(lower(array_to_string(max({'a': loaded_at, 'b': provision_name, 't': text}).t, ' ')), '[a-z]+') AS w FROM statutes GROUP BY id),
+        s AS (SELECT * FROM s0 WHERE code IN ('vpc', 'vds')), n AS (SELECT count(*) AS n FROM s),
+        r AS (SELECT 'b' AS k, code, section, unnest(w) AS t FROM s UNION ALL SELECT 't', code, section, unnest(w[1:12]) FROM s), tf AS (SELECT k, code, section, t, count(*) AS tf FROM r GROUP BY ALL),
+        i AS (SELECT k, t, ln((SELECT n FROM n) / count(*)) AS idf FROM tf GROUP BY 1, 2), w AS (SELECT k, code, section, t, tf * idf AS w FROM tf JOIN i USING (k, t) WHERE tf * idf > 0),
+        u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY k, code, section)) AS u FROM w), c AS (SELECT a.k, a.section AS old, b.section AS new, sum(a.u * b.u) AS s FROM u a JOIN u b ON a.k = b.k AND a.t = b.t AND a.code = 'vpc' AND b.code = 'vds' GROUP BY 1, 2, 3),
+        m AS (SELECT old, new, round(sum(CASE WHEN k = 'b' THEN 0.65 * s ELSE 0.35 * s END), 6) AS sim FROM c GROUP BY 1, 2)
+        SELECT old, new, sim FROM m WHERE sim >= 0.3 QUALIFY row_number() OVER (PARTITION BY new ORDER BY sim DESC, old) <= 4 AND sim >= 0.85 * max(sim) OVER (PARTITION BY new)""",
     "suffix_stem": f"{_V} SELECT term, CASE {_SUFFIX} ELSE term END AS stem FROM v",
     "character_bigrams": f"{_V}, c AS (SELECT term, '$' || term || '$' AS t FROM v), b AS (SELECT DISTINCT term, substr(t, i, 2) AS gram FROM (SELECT term, t, unnest(generate_series(1, length(t) - 1)) AS i FROM c)) SELECT gram, count(*) AS n FROM b GROUP BY 1",
     "kgram_candidates": f"""{_V}, c AS (SELECT term, df, '$' || term || '$' AS t FROM v), b AS (SELECT DISTINCT term, df, substr(t, i, 2) AS g FROM (SELECT term, df, t, unnest(generate_series(1, length(t) - 1)) AS i FROM c)), s AS (SELECT term, count(*) AS n FROM b GROUP BY 1),
