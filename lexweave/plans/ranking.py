@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexweave.operators import graph as gr
 from lexweave.operators import learn as ln
 from lexweave.operators import score as sc
+from lexweave.operators import versions as vs
 from lexweave.plans import relations as re_
 from lexweave.plans import search as se
 from lexweave.tables import table
@@ -78,9 +79,29 @@ def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
     return t.withColumn("r", r).where("r <= 5").select("id", "system_cue")
 
 
+def _section_offence(spark: SparkSession, folder: str) -> DataFrame:
+    """The two penal codes' provisions of equal number stand for one offence."""
+    s = table(spark, folder, "statutes").where("id rlike '^(vpc|vds):'").select(F.col("id").alias("ref")).distinct()
+    return s.select("ref", F.concat(F.lit("off:"), F.regexp_extract("ref", r":(\d+)", 1)).alias("offence_id"))
+
+
+def cited_offences(spark: SparkSession, folder: str) -> DataFrame:
+    """Offences behind the provisions that judgments cite, whatever code they cite."""
+    cites = re_._cases(spark, folder).select("doc_id", F.explode("cites").alias("ref"))
+    return vs.offences(cites, _section_offence(spark, folder)).groupBy("offence_id").agg(F.count_distinct("doc_id").alias("docs"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+def section_equivalents(spark: SparkSession, folder: str) -> DataFrame:
+    return vs.equivalents(_section_offence(spark, folder))
+
+
+_OFF = "so AS (SELECT DISTINCT id AS ref, 'off:' || regexp_extract(id, ':([0-9]+)', 1) AS offence_id FROM statutes WHERE regexp_matches(id, '^(vpc|vds):'))"
 _RUN2 = f"WITH {se.BM}{se.TF}, a AS ({se.top('bm')}), b AS ({se.top('tf')})"
-QUERIES = {f.__name__: f for f in (graph_stats, jurisdiction_subgraph, similar_cases, judging_pool, run_difference, short_queries, learned_ranking, latest_judgments, strong_disagreements, stratified_sample)}
+QUERIES = {f.__name__: f for f in (graph_stats, jurisdiction_subgraph, similar_cases, judging_pool, run_difference, short_queries, learned_ranking, latest_judgments, strong_disagreements, stratified_sample, cited_offences, section_equivalents)}
 SQL = {
+    "cited_offences": f"""{re_._CASES}, {_OFF}, ci AS (SELECT doc_id, unnest(cites) AS ref FROM c), u AS (SELECT doc_id, CASE WHEN ref IN (SELECT ref FROM so) THEN ref ELSE regexp_replace(ref, '^([^:]+:[0-9]+).*$', '\\1') END AS ref FROM ci)
+        SELECT offence_id, count(DISTINCT doc_id) AS docs, round(sum(1.0 / k), 6) AS weight FROM u JOIN (SELECT *, count(*) OVER (PARTITION BY ref) AS k FROM so) USING (ref) GROUP BY 1""",
+    "section_equivalents": f"WITH {_OFF} SELECT DISTINCT a.ref, b.ref AS other FROM so a JOIN so b USING (offence_id) WHERE split_part(a.ref, ':', 1) <> split_part(b.ref, ':', 1)",
     "graph_stats": f"{re_._EDGES}, d AS (SELECT doc_id, sum(i) AS i, sum(o) AS o FROM (SELECT dst AS doc_id, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY 1) SELECT count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, count(*) FILTER (i > 0) AS cited, round(avg(i), 6) AS mean_in FROM d",
     "jurisdiction_subgraph": f"{re_._CASES}, {re_._EDGES[5:]}, n AS (SELECT doc_id FROM c WHERE list_has_any(states, ['keshal', '*'])) SELECT * FROM e WHERE src IN (SELECT doc_id FROM n) AND dst IN (SELECT doc_id FROM n)",
     "similar_cases": f"""{re_._EDGES}, d AS (SELECT dst, count(*) AS n FROM e GROUP BY 1), x AS (SELECT q.dst AS query_id, o.dst AS doc_id, count(*) AS n FROM e q JOIN e o ON q.src = o.src AND q.dst <> o.dst WHERE TRY_CAST(substr(q.dst, 2) AS INT) % 20 = 0 GROUP BY 1, 2),
