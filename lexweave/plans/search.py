@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexweave.functions.text import words
 from lexweave.operators import index as ix
 from lexweave.operators import score as sc
+from lexweave.session import cut
 from lexweave.tables import spread, table
 
 ZONES = {"facts": 1.0, "arguments": 0.5, "ratio": 2.0, "decision": 1.5}
@@ -97,9 +98,11 @@ def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _zoned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     rows = paragraphs(spark, folder).select("doc_id", "zone", F.explode(words(F.col("text"))).alias("term"))
+    post = cut(ix.postings(rows, ("zone",)))  # lengths, totals and scores read it; the texts are cut into words once
+    rows = post.select("doc_id", "zone", F.explode(F.array_repeat("term", F.col("tf").cast("int"))).alias("term"))
     q = table(spark, folder, "rag_questions").where("id is not null and text is not null").groupBy("id").agg(F.max(F.struct("loaded_at", "text")).alias("r"))
     q = q.where("try_cast(substring(id, 2) as int) % 20 = 0").select(F.col("id").alias("query_id"), F.col("r.text").alias("text"))
-    return ix.postings(rows, ("zone",)), ix.length_norms(ix.zone_lengths(rows), 1.0, "zone"), sc.query_terms(q, "query_id", "text"), rows
+    return post, ix.length_norms(ix.zone_lengths(rows), 1.0, "zone"), sc.query_terms(q, "query_id", "text"), rows
 
 
 def bm25f_zones(spark: SparkSession, folder: str) -> DataFrame:
