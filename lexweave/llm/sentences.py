@@ -3,7 +3,7 @@
 Characters are tagged as boundary or inside by a linear-chain model with Viterbi decoding. Only characters at which a unit
 can end compete (end marks with the closers behind them, line ends, and gaps between words a mark may be missing from);
 all others are inside. A character's potential is the sum of the weights of its features: the mark, the words around it and
-their shapes, line breaks, and how the quotation or bracket it stands in began; the chain adds the cost of neighbouring
+their shapes, the case of the text around it, line breaks, and how the quotation or bracket it stands in began; the chain adds the cost of neighbouring
 tags. Blank lines and the end of the text are boundaries by definition.
 
 Weights are trained by an averaged structured perceptron on at most ``max_rows`` texts, whose boundaries are told by
@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,15 +46,33 @@ _ITEM = re.compile(r"(?:\(?[a-zA-Z]{1,3}\)|\(?\d{1,3}[.)]|[ivx]{1,4}[.)]|[-*•
 _NUMBER_ITEM = re.compile(r"(?:^|\n)[ \t]*(?:\d{1,3}|[a-zA-Z])\.$")
 
 
-def _case(text: str) -> str:
-    """How a text uses capitals: ``mixed``, ``lower``, ``upper`` or ``none`` (no Latin letters to speak of)."""
-    up = sum(map(str.isupper, text[:3000]))
-    low = sum(map(str.islower, text[:3000]))
+#: Characters around a candidate by which its case is judged.
+_AROUND = 3000
+
+
+def _case(up: int, low: int) -> str:
+    """How a stretch uses capitals: ``mixed``, ``lower``, ``upper`` or ``none`` (no Latin letters to speak of)."""
     if up + low < 20:
         return "none"
     return "upper" if up > 3 * low else "lower" if up * 200 < low else "mixed"
 
 
+def _cases(text: str) -> Callable[[int], str]:
+    """The case of the ``_AROUND`` characters about a place, or of the whole text where it is no longer than that."""
+    n = len(text)
+    if n <= _AROUND:
+        whole = _case(sum(map(str.isupper, text)), sum(map(str.islower, text)))
+        return lambda i: whole
+    up = np.concatenate([[0], np.cumsum(np.fromiter(map(str.isupper, text), np.int64, n))])
+    low = np.concatenate([[0], np.cumsum(np.fromiter(map(str.islower, text), np.int64, n))])
+
+    def at(i: int) -> str:
+        a = max(0, min(i - _AROUND // 2, n - _AROUND))
+        return _case(int(up[a + _AROUND] - up[a]), int(low[a + _AROUND] - low[a]))
+
+    return at
+
+
 def _spans(text: str) -> list[tuple[int, int, bool]]:
     """(open, close, at the start of a sentence) of quotations and brackets that hold white space."""
     out, stack = [], []
@@ -99,13 +118,14 @@ def _shape(w: str) -> str:
 
 def candidates(text: str) -> list[Candidate]:
     """The places where a unit can end, in order, with features; ``sure`` is what orthography alone tells, if anything."""
-    n, case, spans = len(text), _case(text), _spans(text)
+    case_at, spans = _cases(text), _spans(text)
     out: list[Candidate] = []
     line_start = 0
     at_span = 0
     open_now: list[tuple[int, int, bool]] = []
     for m in _MARK.finditer(text):
         i, j = m.span()
+        case = case_at(i)
         while at_span < len(spans) and spans[at_span][0] < i:
             open_now.append(spans[at_span])
             at_span += 1

@@ -54,3 +54,11 @@ def test_training_is_bounded(spark):
     df = spark.createDataFrame([(f"Text no. {i}. It ends.",) for i in range(300)] + [(None,)], "text string")
     assert 0 < len(se.training_texts(df, "text", 50)) <= 50 and se.training_texts(df.limit(0), "text") == []
     assert se.ends("One. Two.", se.train([])) == [9]
+
+
+def test_case_is_that_of_the_surroundings():
+    capitals = "THE WITNESS SAW A KNIFE. " * 200
+    for head in ("पुलिस ने चाकू बरामद किया। " * 150, "The witness saw a knife near the shop. " * 100):
+        got = se.candidates(head + capitals)
+        assert any(f.startswith("n:upper:upper") for f in got[-5].feats)
+        assert se._cases(head + capitals)(0) == ("none" if head[0] == "प" else "mixed")
