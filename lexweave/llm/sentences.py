@@ -1,14 +1,17 @@
 """Sentence boundaries across languages and scripts.
 
 Characters are tagged as boundary or inside by a linear-chain model with Viterbi decoding. Only characters at which a unit
-can end compete (end marks with the closers behind them, line ends, and gaps between words a mark may be missing from);
-all others are inside. A character's potential is the sum of the weights of its features: the mark, the words around it and
-their shapes, the case of the text around it, line breaks, and how the quotation or bracket it stands in began; the chain adds the cost of neighbouring
-tags. Blank lines and the end of the text are boundaries by definition.
+can end compete: end marks with the closers behind them, line ends, and in a stretch that no mark ends (up to a blank line,
+a heading, an item or the end of the text) every gap between words; all others are inside. A character's potential is the
+sum of the weights of its features: the mark, the words around it and their shapes, the case of the text around it, line
+breaks, and how the quotation or bracket it stands in began; the chain adds the cost of neighbouring tags, one table for
+marks and line ends, one for gaps. Blank lines and the end of the text are boundaries by definition.
 
 Weights are trained by an averaged structured perceptron on at most ``max_rows`` texts, whose boundaries are told by
-orthography alone where it leaves no doubt. Every text is trained on a second time with a part of its end marks stripped,
-so the words around a boundary carry weight of their own, which decides in scripts and texts without marks.
+orthography alone where it leaves no doubt. Every text is trained on a second time without the features that a half of its
+marks have by themselves, so the words around a mark carry weight of their own, and a third time with end marks deleted, in
+half of the texts all of them and in the others those of half of the paragraphs: there the ends they stood for are the
+labels of the gaps.
 
 Defined results: null, empty and blank texts have no units; a text without any boundary is one unit; white space between
 units belongs to none; offsets count Unicode characters of the original text; repeated rows come out as they stand.
@@ -19,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -39,7 +43,8 @@ ABBREVIATIONS = set(
 #: Of these, the ones a sentence may well end with.
 ENDING = {"a.m", "p.m", "ors", "co", "etc", "ltd"}
 _OPEN, _CLOSE = "“‘([{«\"'", "”’)]}»\"'"
-_MARK = re.compile(r"[.!?।۔|…]+[\"'”’)\]}»]*|\n")
+_MARKS = ".!?।॥۔؟|…"
+_MARK = re.compile(rf"[{_MARKS}]+[\"'”’)\]}}»]*|\n")
 _WORD_BEFORE = re.compile(r"[^\s\"'“”‘’(\[]*$")
 _WORD_AFTER = re.compile(r"[^\s]+")
 _ITEM = re.compile(r"(?:\(?[a-zA-Z]{1,3}\)|\(?\d{1,3}[.)]|[ivx]{1,4}[.)]|[-*•–])(?=\s)")
@@ -86,7 +91,7 @@ def _spans(text: str) -> list[tuple[int, int, bool]]:
         opens = c in "“‘(" or (c in "\"'" and (not before or before.isspace() or before in "(“‘") and after and not after.isspace())
         if opens:
             lead = text[max(0, i - 3) : i].rstrip()
-            stack.append((c, i, not lead or lead[-1] in ".!?।۔|…”’\"')" or "\n" in text[max(0, i - 2) : i]))
+            stack.append((c, i, not lead or lead[-1] in _MARKS + "”’\"')" or "\n" in text[max(0, i - 2) : i]))
         else:
             want = {"”": "“", "’": "‘", ")": "("}.get(c, c)
             if c in "'’" and before.isalpha() and after.isalpha():
@@ -100,10 +105,11 @@ def _spans(text: str) -> list[tuple[int, int, bool]]:
 
 
 class Candidate:
-    __slots__ = ("end", "feats", "forced", "sure")
+    __slots__ = ("end", "feats", "forced", "gap", "mark", "sure")
 
-    def __init__(self, end: int, feats: list[str], forced: bool, sure: bool | None):
+    def __init__(self, end: int, feats: list[str], forced: bool, sure: bool | None, mark: int | None = None, gap: int = 0):
         self.end, self.feats, self.forced, self.sure = end, feats, forced, sure
+        self.mark, self.gap = mark, gap  # where the mark begins, if it is one; 1 for a gap between words
 
 
 def _shape(w: str) -> str:
@@ -142,7 +148,7 @@ def candidates(text: str) -> list[Candidate]:
             item = bool(_ITEM.match(text[i + 1 : i + 12].lstrip(" \t")))
             after = _WORD_AFTER.search(text, i + 1)
             nxt = after.group() if after else ""
-            marked = body in ".!?।۔|…:;" or (body in _CLOSE and line[-2:-1] in ".!?।۔|…")
+            marked = body in _MARKS + ":;" or (body in _CLOSE and line[-2:-1] in _MARKS)
             heading = block_start and not marked and len(line) <= 42 and not blank and _shape(nxt) != "lower" or block_start and len(line) <= 42 and not marked and case == "lower"
             forced = blank
             feats = [f"nl:{'blank' if blank else 'item' if item else 'heading' if heading else 'wrap'}", f"nl-mark:{body if marked else '-'}", f"nl-next:{_shape(nxt)}"]
@@ -210,26 +216,81 @@ def candidates(text: str) -> list[Candidate]:
             s = min(within, key=lambda x: x[1])
             tail = _WORD_AFTER.search(text, s[1] + 1)
             sure = not (tail and (tail.group()[:1].islower() and case == "mixed" or tail.group()[:1] == ","))
-        out.append(Candidate(close, feats, last, sure))
+        out.append(Candidate(close, feats, last, sure, i))
     end = len(text.rstrip())
     if end and (not out or out[-1].end < end):
         out.append(Candidate(end, ["eot"], True, True))
     for c in out:
         c.forced = c.forced or c.end == end
-    return out
+    return _with_gaps(text, out, case_at)
+
+
+def _with_gaps(text: str, cands: list[Candidate], case_at: Callable[[int], str]) -> list[Candidate]:
+    """The candidates and, in every stretch that no mark ends, the gaps between its words.
+
+    A text that has marks elsewhere says by leaving them out that such a stretch is one unit; in one without any, nothing is sure.
+    """
+    marked = any(c.mark is not None and c.sure for c in cands)
+    out: list[Candidate] = []
+    at, held = 0, []
+    for c in cands:
+        held.append(c)
+        if not (c.forced or c.sure):
+            continue
+        if c.mark is None:
+            taken = {h.end for h in held}
+            found = [(a[0], b[0], a.end()) for a, b in pairwise(_WORD_AFTER.finditer(text, at, c.end)) if a.end() not in taken and "\n" not in text[a.end() : b.start()]]
+            for k, (word, after, end) in enumerate(found):
+                before = word.lower().strip(_OPEN + _CLOSE + ",;:")
+                low, shape, case = after.strip(_OPEN + _CLOSE).lower().rstrip(_MARKS + ",;"), _shape(after), case_at(end)
+                feats = [
+                    f"g:{marked}", f"gn:{shape}:{case}", f"gp:{before[:12]}", f"gs:{before[-3:]}:{shape}:{case}", f"gw:{low[:12]}",
+                    f"gd:{k == 0}:{k == len(found) - 1}", f"gl:{word[-1] in ',;:-'}:{_shape(word)}:{shape}:{case}",
+                ]
+                held.append(Candidate(end, feats, False, False if marked else None, gap=1))
+            if found:
+                held.sort(key=lambda h: h.end)
+        out += held
+        at, held = c.end, []
+    return out + held
+
+
+def without_marks(text: str) -> tuple[str, set[int]]:
+    """The text with sure end marks deleted, of all paragraphs or of half of them by hash, and the ends of its units."""
+    whole = xxhash.xxh3_64_intdigest(text) % 2
+    parts, ends, at, size, para = [], set(), 0, 0, 0
+    for c in candidates(text):
+        if not (c.sure or c.forced):
+            continue
+        if c.mark is not None:
+            a = b = c.mark
+            para += text.count("\n\n", at, b)
+            while b < c.end and text[b] in _MARKS:
+                b += 1
+            while a > at and text[a - 1].isspace():
+                a -= 1
+            spaced = c.end == len(text) or text[c.end].isspace()
+            if spaced and a > at and (whole or xxhash.xxh3_64_intdigest(f"{para}") % 2):
+                parts.append(text[at:a])
+                size, at = size + a - at, b
+        parts.append(text[at : c.end])
+        size, at = size + c.end - at, c.end
+        ends.add(size)
+    return "".join(parts) + text[at:], ends
 
 
 class Model:
-    """Feature weights of the boundary tag and costs of neighbouring tags."""
+    """Feature weights of the boundary tag and costs of neighbouring tags, before a mark or line end and before a gap."""
 
-    def __init__(self, weights: dict[str, float], chain: tuple[tuple[float, float], tuple[float, float]]):
+    def __init__(self, weights: dict[str, float], chain: tuple):
         self.weights, self.chain = weights, chain
 
     def decode(self, cands: list[Candidate]) -> list[bool]:
         """The best tags by Viterbi; forced candidates are boundaries."""
-        get, t = self.weights.get, self.chain
+        get = self.weights.get
         a, b, back = 0.0, 0.0, []
         for c in cands:
+            t = self.chain[c.gap]
             e = sum([get(f, 0.0) for f in c.feats])
             ia, ib = a + t[0][0], b + t[1][0]
             ba, bb = a + t[0][1], b + t[1][1]
@@ -249,22 +310,27 @@ def ends(text: str, model: Model) -> list[int]:
 
 
 def train(texts: list[str], rounds: int = 8) -> Model:
-    """Averaged structured perceptron on what orthography alone tells, with and without marks."""
+    """Averaged structured perceptron on what orthography alone tells, and on the same texts with marks deleted."""
     data = []
     for t in texts:
-        cands = [c for c in candidates(t) if c.sure is not None]
+        found = candidates(t)
+        cands = [c for c in found if c.sure is not None]
         if cands:
             data.append((cands, [c.sure for c in cands]))
             stripped = []
             for c in cands:
                 drop = xxhash.xxh3_64_intdigest(f"{c.end}{c.feats[0]}") % 2
                 feats = [f for f in c.feats if not drop or f[:2] not in ("m:", "le")]
-                stripped.append(Candidate(c.end, feats, c.forced, c.sure))
+                stripped.append(Candidate(c.end, feats, c.forced, c.sure, c.mark, c.gap))
             data.append((stripped, [c.sure for c in cands]))
+        if any(c.mark is not None and c.sure for c in found):
+            # only the gaps learn from a text without its marks; the units' fixed ends keep them apart
+            bare, true = without_marks(t)
+            cands = [Candidate(c.end, c.feats, c.forced, c.end in true, gap=1) for c in candidates(bare) if c.gap or c.forced]
+            data.append((cands, [c.forced or c.sure for c in cands]))
     w: dict[str, float] = defaultdict(float)
     total: dict[str, float] = defaultdict(float)
-    chain = [[0.0, 0.0], [0.0, 0.0]]
-    chain_total = [[0.0, 0.0], [0.0, 0.0]]
+    chain, chain_total = [[[[0.0, 0.0], [0.0, 0.0]] for _ in range(2)] for _ in range(2)]
     step, steps = 0, max(1, rounds * len(data))
     for _ in range(rounds):
         for cands, gold in data:
@@ -281,12 +347,12 @@ def train(texts: list[str], rounds: int = 8) -> Model:
                         w[f] += d
                         total[f] += d * left
                 if (last_g, g) != (last_h, h):
-                    chain[last_g][g] += 0.2
-                    chain[last_h][h] -= 0.2
-                    chain_total[last_g][g] += 0.2 * left
-                    chain_total[last_h][h] -= 0.2 * left
+                    chain[c.gap][last_g][g] += 0.2
+                    chain[c.gap][last_h][h] -= 0.2
+                    chain_total[c.gap][last_g][g] += 0.2 * left
+                    chain_total[c.gap][last_h][h] -= 0.2 * left
                 last_g, last_h = int(g), int(h)
-    return Model(dict(total), tuple(map(tuple, chain_total)))
+    return Model(dict(total), tuple(tuple(map(tuple, x)) for x in chain_total))
 
 
 def training_texts(df: DataFrame, text: str, max_rows: int = 2000) -> list[str]:

@@ -62,3 +62,23 @@ def test_case_is_that_of_the_surroundings():
         got = se.candidates(head + capitals)
         assert any(f.startswith("n:upper:upper") for f in got[-5].feats)
         assert se._cases(head + capitals)(0) == ("none" if head[0] == "प" else "mixed")
+
+
+def test_gaps_end_units_where_marks_are_missing():
+    said = ["पुलिस ने चाकू बरामद किया", "गवाह ने सच कहा", "न्यायालय ने अपील खारिज की", "रमेश दुकान के पास खड़ा था"]
+    texts = [" ".join(f"{said[(i * k + k) % 4]}।" for k in range(1, 7)) for i in range(60)]
+    told = [said[3], said[0], said[2], said[1]]
+    assert cut(" ".join(told), se.train(texts)) == told
+    assert len(se.ends(" ".join(f"{x}।" for x in told), se.train(texts))) == 4
+
+
+def test_marks_are_deleted_with_their_ends_kept():
+    text = "Roe left the shop. Is it due? Dr. Poe said so."
+    bare, ends = next(x for x in map(se.without_marks, (text + " " * k for k in range(20))) if "shop." not in x[0])
+    assert {bare[:e].split()[-1] for e in ends} == {"shop", "due", "so"} and "Dr." in bare
+
+
+@pytest.mark.parametrize("mark", ["؟", "॥"])
+def test_more_marks(mark, model):
+    first = f"کیا وہ آیا{mark}"
+    assert any(c.end == len(first) and c.sure for c in se.candidates(first + " وہ چلا گیا۔"))
