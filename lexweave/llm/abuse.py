@@ -7,7 +7,9 @@ someone, or a group set beside vermin, from the same words in a sober account. S
 so a text costs time in proportion to its length. The score of a text is that of its worst window.
 
 No labels come with the texts. The machine is trained on windows that hold a seed (a fixed word, or fixed words that
-stand together) against windows that hold none, from at most ``max_windows`` windows drawn by a hash over all texts.
+stand together) against windows that hold none. Seeds are looked for in every text; of each seed at most an equal share of
+half of ``max_windows`` distinct windows is kept, those with the smallest hashes, so a seed that stands anywhere is
+learnt. Only the windows without a seed are drawn from a sample of the texts.
 Half of the time a training window loses its seed words' single weight (they are dropped), so the words around a seed
 learn to speak for themselves.
 
@@ -25,7 +27,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 18
@@ -240,15 +242,60 @@ def fit(windows: list[list[str]], labels: list[int], epochs: int = 12, rate: flo
     return Machine(float(bias), full_w[:pad], full_v[:pad])
 
 
+def seeds_of(words: list[str]) -> list[str]:
+    """The seeds that words hold, sets by their joined words."""
+    have = set(words)
+    return [*(have & SEED_WORDS), *(" ".join(sorted(s)) for s in SEED_SETS if s <= have)]
+
+
+def seed_windows(words: list[str]) -> Iterator[tuple[str, list[str]]]:
+    """(seed, window) of a text's windows that hold one; a set that falls between the half-overlapping windows gets the first that holds it."""
+    left = set(seeds_of(words))
+    if not left:
+        return
+    for step in (WINDOW // 2, 1):
+        missed = set(left)
+        for i in range(0, max(1, len(words) - WINDOW // 2), step):
+            win = words[i : i + WINDOW]
+            for seed in seeds_of(win):
+                if step > 1 or seed in missed:
+                    yield seed, win
+                    missed.discard(seed)
+            if step == 1 and not missed:
+                return
+        if not missed:
+            return
+        left = missed
+
+
 def training_windows(docs: DataFrame, text: str, max_windows: int = 40_000, max_docs: int = 20_000) -> tuple[list[list[str]], list[int]]:
-    """At most ``max_windows`` windows of about ``max_docs`` texts drawn by hash: the seeded ones and a share of the others.
+    """At most ``max_windows`` windows: seeded ones of all texts, and of about ``max_docs`` texts drawn by hash a share of the others.
 
     Windows in other scripts than Latin are rarer, so a larger share of them is kept.
     """
     n = docs.where(F.col(text).isNotNull()).count()
     part = min(1.0, max_docs / max(1, n))
+    per_seed = max(1, max_windows // 2 // len(SEED_WORDS | {" ".join(sorted(s)) for s in SEED_SETS}))
     rows = docs.select(F.col(text).alias("t")).where("t is not null").withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << 30)))
-    rows = rows.where(F.col("h") < int(part * (1 << 30)))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict[str, str] = {}
+        best: dict[str, dict[int, str]] = defaultdict(dict)
+
+        def kept(of: dict[int, str]) -> dict[int, str]:
+            return {h: of[h] for h in sorted(of)[:per_seed]}
+
+        for b in batches:
+            if len(cache) > 300_000:
+                cache.clear()
+            for t in b["t"]:
+                for seed, win in seed_windows(terms(t, cache)):
+                    w = " ".join(win)
+                    best[seed][xxhash.xxh3_64_intdigest(w) >> 1] = w
+                    if len(best[seed]) > 4 * per_seed:
+                        best[seed] = kept(best[seed])
+        out = [(seed, w, h) for seed, of in best.items() for h, w in kept(of).items()]
+        yield pd.DataFrame(out, columns=["seed", "w", "h"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, str] = {}
@@ -258,15 +305,18 @@ def training_windows(docs: DataFrame, text: str, max_windows: int = 40_000, max_
                 ws = terms(t, cache)
                 for i in range(0, max(1, len(ws) - WINDOW // 2), WINDOW // 2):
                     win = ws[i : i + WINDOW]
-                    good = seeded(win)
                     h = xxhash.xxh3_64_intdigest(" ".join(win)) >> 1
-                    if good or h % (48 if win and win[0].isascii() else 8) == 0:
-                        out.append((" ".join(win), int(good), h))
-            yield pd.DataFrame(out, columns=["w", "y", "h"])
-
-    found = rows.select("t").mapInPandas(cut, "w string, y int, h long")
-    got = found.orderBy(F.xxhash64("h"), "w").limit(max_windows).collect()
-    return [r["w"].split(" ") for r in got], [r["y"] for r in got]
+                    if h % (48 if win and win[0].isascii() else 8) == 0 and not seeded(win):
+                        out.append((" ".join(win), h))
+            yield pd.DataFrame(out, columns=["w", "h"])
+
+    found = rows.select("t").mapInPandas(find, "seed string, w string, h long").distinct()
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("h", "w"))).where(F.col("r") <= per_seed)
+    # the first window of every seed comes before the second of any
+    good = ranked.groupBy("w", "h").agg(F.min("r").alias("r")).orderBy("r", F.xxhash64("h"), "w").limit(max_windows).collect()
+    drawn = rows.where(F.col("h") < int(part * (1 << 30))).select("t").mapInPandas(cut, "w string, h long")
+    other = drawn.orderBy(F.xxhash64("h"), "w").limit(max_windows - len(good)).collect()
+    return [r["w"].split(" ") for r in [*good, *other]], [1] * len(good) + [0] * len(other)
 
 
 def scored(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

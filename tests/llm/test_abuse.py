@@ -60,3 +60,14 @@ def test_training_windows(spark):
     windows, labels = abuse.training_windows(df, "text", 50)
     assert len(windows) <= 50 and 0 < sum(labels) <= len(labels)
     assert abuse.training_windows(df.limit(0), "text") == ([], [])
+
+
+def test_every_seed_is_learnt_whatever_the_sample(spark):
+    rare = [(" ".join(clean(40, 900)) + " kutiya",), (" ".join(["nangi", *clean(8, 901), "photo", *clean(3, 902), "bhej", *clean(30, 903)]),)]
+    common = [(" ".join(clean(30, i)) + " idiot",) for i in range(300)]
+    df = spark.createDataFrame(common + rare, "text string")
+    windows, labels = abuse.training_windows(df, "text", 1000, 10)
+    found = [set(w) for w, y in zip(windows, labels) if y]
+    assert any("kutiya" in w for w in found) and any({"nangi", "photo", "bhej"} <= w for w in found)
+    assert 0 < sum("idiot" in w for w in found) <= 500 // 100 and len(windows) <= 1000
+    assert not any(abuse.seeded(w) for w, y in zip(windows, labels) if not y)
