@@ -16,6 +16,7 @@ from lexweave.operators import score as sc
 from lexweave.operators import spell as sp
 from lexweave.plans import relations as re_
 from lexweave.plans import search as se
+from lexweave.session import cut
 from lexweave.tables import table
 
 
@@ -48,15 +49,27 @@ def soundex_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kgram_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Neighbours, among frequent terms, of the rare terms of the vocabulary."""
+    """Neighbours, among terms of 20 documents or more, of the terms of one, at 0.45 as its SQL has it; ``kgram_neighbours`` has all."""
     v = _latin(spark, folder)
     got = sp.kgram_candidates(v.where("df <= 1").select(F.col("term").alias("word")), v.where("df >= 20").select("term"), 0.45)
     return got.withColumn("jaccard", F.round("jaccard", 6))
 
 
+def _rare_and_known(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Words of at most two documents, and the dictionary: terms of at least two. The vocabulary is built once."""
+    v = cut(_latin(spark, folder))
+    return v.where("df <= 2").select(F.col("term").alias("word")), v.where("df >= 2")
+
+
+def kgram_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbours of all rare words in the whole dictionary, at the Jaccard of 0.3 from which a correction is looked for."""
+    rare, known = _rare_and_known(spark, folder)
+    return sp.kgram_candidates(rare, known.select("term")).withColumn("jaccard", F.round("jaccard", 6))
+
+
 def spelling_best(spark: SparkSession, folder: str) -> DataFrame:
-    v = _latin(spark, folder)
-    return sp.corrections(v.where("df <= 1").select(F.col("term").alias("word")), v.where("df >= 20"))
+    """The best correction of every rare word from the whole dictionary."""
+    return sp.corrections(*_rare_and_known(spark, folder))
 
 
 def character_bigrams(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,7 +240,7 @@ _SUFFIX = " ".join(f"WHEN term LIKE '%{s}' AND length(term) > {len(s) + 3} THEN
 QUERIES = {
     f.__name__: f
     for f in (
-        porter_stem, suffix_stem, transliteration, soundex_buckets, kgram_candidates, spelling_best, character_bigrams, section_mentions, decision_dates, claim_quantities, punishment_extract,
+        porter_stem, suffix_stem, transliteration, soundex_buckets, kgram_candidates, kgram_neighbours, spelling_best, character_bigrams, section_mentions, decision_dates, claim_quantities, punishment_extract,
         treatment_status, bigram_containment, repealed_sections, clause_alignment, code_alignment, rocchio_terms, duplicate_collapse, research_round, question_routes, sub_query_votes, answer_sentences,
         checked_answers, snippets, shingles_jaccard, cache_sweep, crosswalk_relations,
     )

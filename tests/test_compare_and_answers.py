@@ -50,3 +50,31 @@ def test_corrections(spark):
     v = spark.createDataFrame([("murder", 90), ("order", 40), ("bail", 50)], "term string, df int")
     w = spark.createDataFrame([("murdr",), ("xyzzy",)], "word string")
     assert [tuple(r) for r in sp.corrections(w, v).collect()] == [("murdr", "murder", 1)]
+
+
+def test_spelling_uses_the_whole_dictionary(spark, tmp_path):
+    from lexweave.functions.lexical import osa
+    from lexweave.plans import texts
+
+    rows = ["murder murdr bail", "murder bond bonds", "bonds bailiff bailif", "bailiff counsel counsle", "counsel counsle sentence", "counsel sentense sentence order orders"]
+    cols = "doc_id long, text string, source string, lang string, docket string"
+    spark.createDataFrame([(i, x, "a", "en", None) for i, x in enumerate(rows)], cols).write.parquet(f"{tmp_path}/documents.parquet")
+    df = {}
+    for x in rows:
+        for w in set(x.split()):
+            df[w] = df.get(w, 0) + 1
+
+    def pairs(w):
+        return {f"${w}$"[i : i + 2] for i in range(len(w) + 1)}
+
+    near, best = {}, {}
+    for w in (w for w in df if df[w] <= 2 and len(w) >= 4):
+        for t in (t for t in df if df[t] >= 2 and len(t) >= 4 and t != w and abs(len(t) - len(w)) <= 2):
+            j = len(pairs(w) & pairs(t)) / len(pairs(w) | pairs(t))
+            if j >= 0.3:
+                near[w, t] = round(j, 6)
+                if osa(w, t, 2) <= 2:
+                    best[w] = min(best.get(w, (9,)), (osa(w, t, 2), w[0] != t[0], -df[t], t))
+    assert {(r.word, r.term): r.jaccard for r in texts.kgram_neighbours(spark, str(tmp_path)).collect()} == near
+    got = {r.word: (r.term, r.edits) for r in texts.spelling_best(spark, str(tmp_path)).collect()}
+    assert got == {w: (b[3], b[0]) for w, b in best.items()} and got["murdr"] == ("murder", 1) and got["counsle"] == ("counsel", 1)
