@@ -18,13 +18,15 @@ Texts with the same shingle set are one class and enter the index once, so a gro
 rows costs one row there. ``pairs`` can expand the classes or leave them as membership.
 
 Defined results: null texts and texts without a full shingle are similar to nothing; equal texts of different keys are
-similar with 1.0; of several deliveries of a key the last holds; empty inputs give empty outputs.
+similar with 1.0 where they have a full shingle (shorter ones are classed by ``groups`` with ``short``); of several deliveries of a key the last holds; empty inputs give empty outputs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -178,10 +180,40 @@ def pairs(docs: DataFrame, key: str, text: str, size: int, threshold: float, ver
     return across.unionByName(within).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
-def groups(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8, version: str | None = None) -> DataFrame:
-    """(key, cls, copies, links): the class of every text, how many copies it has, and to how many other classes it is linked."""
+def short_members(docs: DataFrame, key: str, text: str, size: int, version: str | None = None) -> DataFrame:
+    """(key, cls): the texts without a full shingle by their words, ``cls`` the smallest key of the same words; one without a word is its own."""
+    rows = docs.select(F.col(key).cast("string").alias("key"), (F.col(version) if version else F.lit(None).cast("timestamp")).alias("version"), F.col(text).alias("text"))
+    rows = rows.where("key is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                ws = list(islice(filter(None, (bare(m[0]) for m in re.finditer(r"\S+", t or ""))), size))  # a long text is told by its first words
+                out.append((t is not None, len(ws) >= size, " ".join(ws) if 0 < len(ws) < size else None))
+            yield pd.DataFrame({"key": b["key"], "version": b["version"]}).join(pd.DataFrame(out, columns=["given", "long", "words"], index=b.index, dtype=object))
+
+    found = rows.mapInPandas(run, "key string, version timestamp, given boolean, long boolean, words string")
+    if version:
+        # a delivery without text does not count beside one that has text, and a long one wins a tie, as in the signatures
+        found = found.groupBy("key").agg(F.max(F.struct("given", "version", "long", "words")).alias("r")).select("key", "r.long", "r.words")
+    found = found.where("not long").select("key", "words")
+    by_words = found.where("words is not null").groupBy("words").agg(F.min("key").alias("cls"))
+    return found.join(by_words, "words", "left").select("key", F.coalesce("cls", "key").alias("cls"))
+
+
+def groups(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8, version: str | None = None, short: bool = False) -> DataFrame:
+    """(key, cls, copies, links): the class of every text, how many copies it has, and to how many other classes it is linked.
+
+    With ``short`` the texts without a full shingle have rows too, without links: equal words are one class, no words a class of its own.
+    """
     linked, members = similar_classes(docs, key, text, size, threshold, version)
     rep = members.groupBy("cls").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
     ends = linked.select(F.explode(F.array("key_a", "key_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     info = rep.join(ends, "rep", "left").select("cls", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return members.join(info, "cls").select("key", F.col("rep").alias("cls"), "copies", "links")
+    out = members.join(info, "cls").select("key", F.col("rep").alias("cls"), "copies", "links")
+    if not short:
+        return out
+    rest = short_members(docs, key, text, size, version)
+    n = rest.groupBy("cls").agg(F.count("*").alias("copies"))
+    return out.unionByName(rest.join(n, "cls").select("key", "cls", "copies", F.lit(0).cast("long").alias("links")))

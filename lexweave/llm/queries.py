@@ -85,7 +85,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Class and links of every text, at five words and a similarity of 0.8."""
-    parts = [neardup.groups(df, "id", "text", version=v).withColumn("tbl", F.lit(t)) for t, df, v in p4_texts(spark, folder)]
+    parts = [neardup.groups(df, "id", "text", version=v, short=True).withColumn("tbl", F.lit(t)) for t, df, v in p4_texts(spark, folder)]
     return parts[0].unionByName(parts[1])
 
 

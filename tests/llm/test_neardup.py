@@ -64,3 +64,15 @@ def test_last_version_holds(spark):
 def test_empty(corpus):
     _, df = corpus
     assert neardup.pairs(df.limit(0), "id", "text", 3, 0.5).count() == 0
+
+
+def test_p4_groups_has_a_row_for_every_text(spark, tmp_path):
+    from lexweave.llm import queries
+
+    long = " ".join(base(50))
+    docs = [(1, long), (2, long), (3, "one two"), (4, "One two!"), (5, None), (6, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    prec = spark.sql(f"SELECT * FROM VALUES ('P1', TIMESTAMP'2020-01-01', array('{long}')), ('P1', TIMESTAMP'2021-01-01', array('a b')), ('P2', TIMESTAMP'2020-01-01', null), ('P3', TIMESTAMP'2020-01-01', array('a', 'b')) AS t(id, loaded_at, text)")
+    prec.write.parquet(f"{tmp_path}/precedents.parquet")
+    got = {(r.tbl[0], r.key): (r.cls, r.copies, r.links) for r in queries.p4_groups(spark, str(tmp_path)).collect()}
+    assert got == {("d", "1"): ("1", 2, 0), ("d", "2"): ("1", 2, 0), ("d", "3"): ("3", 2, 0), ("d", "4"): ("3", 2, 0), ("d", "5"): ("5", 1, 0), ("d", "6"): ("6", 1, 0), ("p", "P1"): ("P1", 2, 0), ("p", "P2"): ("P2", 1, 0), ("p", "P3"): ("P1", 2, 0)}
