@@ -26,17 +26,17 @@ def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every orphan reference: table, record and key."""
-    return op.orphan_references(*_inputs(spark, folder)).select("tbl", "rec_id", "ref_key")
+    return op.orphan_references(op.advance(None, *_inputs(spark, folder))).select("tbl", "rec_id", "ref_key")
 
 
 def p1_orphan_report(spark: SparkSession, folder: str) -> DataFrame:
     """Orphans per table and month."""
-    return op.orphan_report(op.orphan_references(*_inputs(spark, folder)))
+    return op.orphan_report(op.orphan_references(op.advance(None, *_inputs(spark, folder))))
 
 
 def p1_orphan_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Keys with positive reference and no existence count, from the folded deltas."""
-    return op.orphan_keys(op.delta_state(*_inputs(spark, folder)))
+    return op.orphan_keys(op.advance(None, *_inputs(spark, folder)).counts)
 
 
 _BASE = """

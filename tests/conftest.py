@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPAT
 def spark():
     from lexweave.session import local_session
 
-    session = local_session(4, 4, **{"spark.sql.warehouse.dir": "/tmp/lexweave-test-warehouse"})
+    session = local_session(4, 4, **{"spark.sql.warehouse.dir": "/tmp/lexweave-test-warehouse", "spark.checkpoint.dir": "/tmp/lexweave-test-shared"})
     yield session
     session.stop()
 
