@@ -3,11 +3,15 @@
 A judge i who sees an item j of class k gives label l with probability proportional to exp(s_i(k, l) + t_j(k, l)): s tilts
 for the judge, t for the item. The dual of the regularised problem is ascended in turn with the label posteriors: given
 the judges' tilts, every item solves its own posterior and tilts (a few Newton steps on its handful of labels); given
-these, every judge's tilts take one diagonal Newton step from sums over the items.
+these, every judge's tilts take one diagonal Newton step from sums over the items. Rounds end when the tilts
+move by less than ``TOLERANCE`` on average, or after ``ROUNDS``.
 
-Items are rows with their labels; a round maps over them and returns, per task and judge, the observed counts, expected
-counts and curvature, which are added up. Only the judges' tilts (classes squared numbers each) travel, up to
-``MAX_JUDGES`` judges. Several tables with classes of their own are fitted in one run: judges belong to a table.
+Items are rows with their labels; a round maps over them and adds up, per judge, observed counts, expected counts and
+curvature, combined map-side. The judges' tilts are sent to the tasks while they are under ``SENT_BYTES``; beyond that
+they are a table that is joined to the ratings, with the same result. An item of more than ``CHUNK`` labels is cut into
+parts of that size by its judges' hashes: its tilts and posterior are rows of a table as well and take one step a round
+from the sums of its parts, so no task ever holds all labels of one item. Several tables with classes of their own are
+fitted in one run: judges belong to a table.
 
 Defined results: null, blank or invalid labels are none; of a judge's valid rows for an item the last counts, ties by the
 larger label; null units or judges are passed over; an item with one label has that label; equal posteriors go to the
@@ -17,6 +21,8 @@ smaller class.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -25,136 +31,282 @@ from pyspark.sql import functions as F
 
 from lexweave.session import cut
 
-#: Strength of the regularisation of judges' and items' tilts, and the number of rounds.
-ALPHA, BETA, ROUNDS = 1.0, 4.0, 12
-MAX_JUDGES = 500_000
+#: Strength of the regularisation of judges' and items' tilts, the most rounds, and the mean move at which they end.
+ALPHA, BETA, ROUNDS, TOLERANCE = 1.0, 4.0, 40, 0.02
+#: The most labels of one item in a row, and the most bytes of tilts that are sent to the tasks.
+CHUNK, SENT_BYTES = 4096, 64_000_000
+_ITEM = ("tbl", "unit", "doc_id")
 
 
 def last_valid(rows: DataFrame) -> DataFrame:
     """(tbl, unit, doc_id, judge, label) from (tbl, unit, doc_id, judge, at, label), a judge's last row with a label of each item."""
     known = rows.where("label is not null and unit is not null and judge is not null")
     last = F.max(F.struct("at", "label")).alias("_r")
-    return known.groupBy("tbl", "unit", "doc_id", "judge").agg(last).select("tbl", "unit", "doc_id", "judge", "_r.label")
+    return known.groupBy(*_ITEM, "judge").agg(last).select(*_ITEM, "judge", "_r.label")
 
 
-def _flat(b: pd.DataFrame, index: dict[tuple[str, str], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = b["judges"].map(len).to_numpy()
-    item = np.repeat(np.arange(len(b)), sizes)
-    tables = np.repeat(b["tbl"].to_numpy(), sizes)
-    judge = np.fromiter((index[t, j] for t, j in zip(tables, (j for js in b["judges"] for j in js))), np.int64, len(item))
-    label = np.fromiter((x for ls in b["labels"] for x in ls), np.int64, len(item))
-    return item, judge, label
-
-
-def _solve(n: int, item: np.ndarray, judge: np.ndarray, label: np.ndarray, valid: np.ndarray, tilts: np.ndarray | None, beta: float, steps: int = 3) -> tuple:
-    """Posteriors (n, K) and label probabilities (m, K, K) of items, given the judges' tilts."""
-    k = valid.shape[1]
-    closed = np.where(valid, 0.0, -1e9)
+def _solve(starts: np.ndarray, judge_tilts: np.ndarray | None, label: np.ndarray, valid: np.ndarray, beta: float, steps: int = 3) -> tuple:
+    """Posteriors (n, K) and label probabilities (m, K, K) of whole items, whose labels begin at ``starts``, given the judges' tilts."""
+    n, k = valid.shape
+    item = np.repeat(np.arange(n), np.diff(np.append(starts, len(label))))
     onehot = np.zeros((len(label), k))
     onehot[np.arange(len(label)), label] = 1
-    votes = np.zeros((n, k))
-    np.add.at(votes, item, onehot)
-    if tilts is None:
-        q = votes / votes.sum(axis=1, keepdims=True)
-        return q, None, onehot
-    base = tilts[judge] + closed[item][:, None, :]
-    t = np.zeros((n, k, k))
+    if judge_tilts is None:
+        votes = np.add.reduceat(onehot, starts, axis=0)
+        even = valid / valid.sum(axis=1, keepdims=True)
+        return votes / votes.sum(axis=1, keepdims=True), np.broadcast_to(even[item][:, None, :], (len(label), k, k)), onehot, item
+    closed = np.where(valid, 0.0, -1e9)
+    base, t = judge_tilts + closed[item][:, None, :], np.zeros((n, k, k))
     for step in range(steps):
-        z = base + t[item]
-        p = np.exp(z - z.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        like = np.log(np.maximum(p[np.arange(len(label)), :, label], 1e-12))
-        q = closed.copy()
-        np.add.at(q, item, like)
-        q = np.exp(q - q.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
+        p = _softmax(base + t[item])
+        like = np.log(np.maximum(np.einsum("mkl,ml->mk", p, onehot), 1e-12))
+        q = _softmax(closed + np.add.reduceat(like, starts, axis=0))
         if step + 1 < steps:
-            grad, curve = np.zeros((n, k, k)), np.zeros((n, k, k))
-            np.add.at(grad, item, onehot[:, None, :] - p)
-            np.add.at(curve, item, p * (1 - p))
+            grad = np.add.reduceat(onehot[:, None, :] - p, starts, axis=0)
+            curve = np.add.reduceat(p * (1 - p), starts, axis=0)
             t += (q[:, :, None] * grad - beta * t) / (q[:, :, None] * curve + beta)
-    return q, p, onehot
+    return q, p, onehot, item
 
 
-def _table(name: str, classes: dict[str, list[str]], k: int) -> np.ndarray:
-    return np.arange(k) < len(classes[name])
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(ratings: DataFrame, classes: dict[str, list[str]], alpha: float = ALPHA, beta: float = BETA, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
-    """(items with posterior, judges' tilts) from last_valid rows; ``classes`` lists each table's labels in order."""
-    spark = ratings.sparkSession
+class _Sender:
+    """How the tasks get the tilts of a batch's judges: from what was sent, or from a column joined to the rows."""
+
+    def __init__(self, sent: tuple[dict, np.ndarray] | str | None, k: int):
+        self.sent, self.k, self.even = sent, k, isinstance(sent, str)
+
+    def tilts(self, b: pd.DataFrame, judge: list[tuple[str, str]]) -> np.ndarray:
+        if self.sent is None:
+            got = np.stack([x for row in b["tilts"] for x in row])
+        else:
+            index, rows = self.sent
+            got = rows[np.fromiter((index[j] for j in judge), np.int64, len(judge))]
+        return got.reshape(-1, self.k, self.k)
+
+
+def _parts(ratings: DataFrame, classes: dict[str, list[str]]) -> DataFrame:
+    """(tbl, unit, doc_id, part, parts, judges, labels): the items, those of more than ``CHUNK`` labels in parts."""
     code = F.coalesce(*[F.when((F.col("tbl") == t) & (F.col("label") == l), F.lit(i)) for t, ls in classes.items() for i, l in enumerate(ls)])
-    pairs = F.sort_array(F.collect_list(F.struct("judge", "y")))
-    items = ratings.withColumn("y", code).where("y is not null").groupBy("tbl", "unit", "doc_id").agg(pairs.alias("p"))
-    items = cut(items.select("tbl", "unit", "doc_id", F.col("p.judge").alias("judges"), F.col("p.y").alias("labels")))
-    names = items.select("tbl", F.explode("judges").alias("judge")).distinct().limit(MAX_JUDGES + 1).collect()
-    if len(names) > MAX_JUDGES:
-        raise ValueError(f"more than {MAX_JUDGES} judges, the stated bound")
-    index = {tuple(r): i for i, r in enumerate(sorted(map(tuple, names)))}
+    coded = ratings.withColumn("y", code).where("y is not null").select(*_ITEM, "judge", "y")
+    many = coded.groupBy(*_ITEM).agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(*_ITEM, F.ceil(2 * F.col("n") / CHUNK).cast("int").alias("parts"))
+    coded = _joined(coded, many, ("parts",), how="left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("judge"), F.col("parts")).cast("int").alias("part")
+    held = coded.groupBy(*_ITEM, part, "parts").agg(F.sort_array(F.collect_list(F.struct("judge", "y"))).alias("p"))
+    return held.select(*_ITEM, "part", "parts", F.col("p.judge").alias("judges"), F.col("p.y").alias("labels"))
+
+
+def _with_tilts(items: DataFrame, tilts: DataFrame) -> DataFrame:
+    """The rows with the tilts of their judges in a column, in the order of their judges."""
+    flat = items.select(*_ITEM, "part", F.explode("judges").alias("judge"))
+    both = flat.join(tilts, ["tbl", "judge"]).groupBy(*_ITEM, "part").agg(F.sort_array(F.collect_list(F.struct("judge", "s"))).alias("p"))
+    one = both.select(*_ITEM, "part", F.col("p.s").alias("tilts"))
+    return _joined(items, one, ("tilts",), (*_ITEM, "part"))
+
+
+def fit(ratings: DataFrame, classes: dict[str, list[str]], alpha: float = ALPHA, beta: float = BETA, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """(items with posterior, judges' tilts (tbl, judge, s)) from last_valid rows; ``classes`` lists each table's labels in order."""
+    spark = ratings.sparkSession
     k = max(map(len, classes.values()))
-    tilts: np.ndarray | None = None
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((index, tilts))
+    k2 = k * k
+    items = cut(_parts(ratings, classes))
+    whole, split = items.where("parts = 1"), items.where("parts > 1")
+    has_split = not split.isEmpty()
+    judges = cut(items.select("tbl", F.explode("judges").alias("judge")).distinct())
+    sent = judges.count() * (k2 * 8 + 64) <= SENT_BYTES
+    tilts = judges.withColumn("s", F.array_repeat(F.lit(0.0), k2))
+    hot = cut(_first_state(split, k)) if has_split else None
+
+    index: dict[tuple[str, str], int] = {(r["tbl"], r["judge"]): i for i, r in enumerate(judges.collect())} if sent else {}
+    held = np.zeros((len(index), k2))  # the tilts, where they are sent
+
+    def rows_of(part: DataFrame, first: bool) -> tuple[DataFrame, object]:
+        if first or sent:
+            return part, spark.sparkContext.broadcast("even" if first else (index, held))
+        return _with_tilts(part, tilts), spark.sparkContext.broadcast(None)
+
+    def valid_of(b: pd.DataFrame) -> np.ndarray:
+        return np.stack([np.arange(k) < len(classes[t]) for t in b["tbl"]])
+
+    def flat(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        sizes = b["labels"].map(len).to_numpy()
+        return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), np.concatenate(b["labels"].to_list()).astype(np.int64)
+
+    def judges_of(b: pd.DataFrame) -> list[tuple[str, str]]:
+        return [(t, j) for t, js in zip(b["tbl"], b["judges"]) for j in js]
 
-        def sums(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            idx, s = shared.value
-            total = np.zeros((3, len(idx), k, k))
+    def by_judge(judge: list[tuple[str, str]], q: np.ndarray, p: np.ndarray, onehot: np.ndarray) -> pd.DataFrame:
+        """Sums per judge of observed counts, expected counts and curvature."""
+        w = q[:, :, None]
+        stats = np.stack([w * onehot[:, None, :], w * p, w * p * (1 - p)], axis=1).reshape(len(q), -1)
+        seen: dict[tuple[str, str], int] = {}
+        code = np.fromiter((seen.setdefault(j, len(seen)) for j in judge), np.int64, len(judge))
+        order = np.argsort(code, kind="stable")
+        sums = np.add.reduceat(stats[order], np.searchsorted(code[order], np.arange(len(seen))), axis=0)
+        return pd.DataFrame({"tbl": [t for t, _ in seen], "judge": [j for _, j in seen], "v": list(sums)})
+
+    def sums_of_whole(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sender = _Sender(shared.value, k)
+            for b in batches:
+                if len(b):
+                    (starts, label), judge = flat(b), judges_of(b)
+                    q, p, onehot, item = _solve(starts, None if sender.even else sender.tilts(b, judge), label, valid_of(b), beta)
+                    yield by_judge(judge, q[item], p, onehot)
+
+        return rows.mapInPandas(run, "tbl string, judge string, v array<double>")
+
+    def sums_of_split(rows: DataFrame, shared) -> DataFrame:
+        """Sums of the judges, and under a null judge those of the items: log likelihood, gradient and curvature."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sender = _Sender(shared.value, k)
             for b in batches:
-                item, judge, label = _flat(b, idx)
-                valid = np.stack([_table(t, classes, k) for t in b["tbl"]])
-                q, p, onehot = _solve(len(b), item, judge, label, valid, s, beta)
-                if p is None:
-                    p = np.broadcast_to((valid / valid.sum(axis=1, keepdims=True))[item][:, None, :], (len(item), k, k))
-                w = q[item][:, :, None]
-                np.add.at(total[0], judge, w * onehot[:, None, :])
-                np.add.at(total[1], judge, w * p)
-                np.add.at(total[2], judge, w * p * (1 - p))
-            seen = np.flatnonzero(total[0].sum(axis=(1, 2)))
-            yield pd.DataFrame({"judge": seen, "v": [total[:, j].ravel() for j in seen]})
-
-        parts = items.mapInPandas(sums, "judge long, v array<double>").select("judge", F.posexplode("v").alias("pos", "v")).groupBy("judge", "pos").agg(F.sum("v").alias("v")).collect()
-        got = np.zeros((len(index), 3 * k * k))
-        for r in parts:
-            got[r["judge"], r["pos"]] = r["v"]
-        n, e, h = got.reshape(len(index), 3, k, k).transpose(1, 0, 2, 3)
-        old = np.zeros((len(index), k, k)) if tilts is None else tilts
-        tilts = old + np.clip((n - e - alpha * old) / (h + alpha), -2, 2)
-    shared = spark.sparkContext.broadcast((index, tilts))
+                if not len(b):
+                    continue
+                (starts, label), judge = flat(b), judges_of(b)
+                item = np.repeat(np.arange(len(b)), b["labels"].map(len))
+                onehot = np.eye(k)[label]
+                s = 0.0 if sender.even else sender.tilts(b, judge)
+                t, q = np.stack(b["t"].to_list()).reshape(-1, k, k), np.stack(b["q"].to_list())
+                p = _softmax(s + t[item] + np.where(valid_of(b), 0.0, -1e9)[item][:, None, :])
+                yield by_judge(judge, q[item], p, onehot).assign(unit=None, doc_id=None)
+                like = np.log(np.maximum(np.einsum("mkl,ml->mk", p, onehot), 1e-12))
+                cols = np.concatenate([like, (onehot[:, None, :] - p).reshape(-1, k2), (p * (1 - p)).reshape(-1, k2)], axis=1)
+                got = np.pad(np.add.reduceat(cols, starts, axis=0), ((0, 0), (0, k2 - k)))
+                yield pd.DataFrame({"tbl": b["tbl"], "judge": None, "v": list(got), "unit": b["unit"], "doc_id": b["doc_id"]})
+
+        return rows.mapInPandas(run, "tbl string, judge string, v array<double>, unit string, doc_id string")
+
+    summed = F.array(*[F.sum(F.col("v")[i]) for i in range(3 * k2)]).alias("v")
+    for i in range(rounds):
+        rows, shared = rows_of(whole, i == 0)
+        sums = sums_of_whole(rows, shared)
+        if has_split:
+            rows, shared = rows_of(_joined(split, hot, ("t", "q")), i == 0)
+            both = cut(sums_of_split(rows, shared))
+            sums = sums.unionByName(both.where("judge is not null").select("tbl", "judge", "v"))
+            moved = both.where("judge is null").groupBy(*_ITEM).agg(summed)
+            hot = cut(_next_state(_joined(hot, moved, ("v",)), classes, k, beta))
+        sums = sums.groupBy("tbl", "judge").agg(summed)
+        if sent:
+            got = sums.toPandas()
+            at = [index[j] for j in zip(got["tbl"], got["judge"])]
+            step = np.zeros_like(held)
+            if at:
+                step[at] = _step(held[at], np.stack(got["v"].to_list()), alpha)
+            held = held + step
+            move = np.abs(step).mean() if step.size else 0.0
+        else:
+            stepped = cut(_stepped(tilts.join(sums, ["tbl", "judge"], "left"), k2, alpha))
+            move = stepped.agg(F.avg("move")).first()[0] or 0.0
+            tilts = stepped.select("tbl", "judge", "s")
+        if move < tolerance:
+            break
+    rows, shared = rows_of(whole, False)
+    if sent:
+        tilts = spark.createDataFrame([(*j, held[i].tolist()) for j, i in index.items()], "tbl string, judge string, s array<double>")
 
     def label_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idx, s = shared.value
+        sender = _Sender(shared.value, k)
         for b in batches:
-            item, judge, label = _flat(b, idx)
-            valid = np.stack([_table(t, classes, k) for t in b["tbl"]]) if len(b) else np.zeros((0, k), bool)
-            q, _, _ = _solve(len(b), item, judge, label, valid, s, beta)
-            best = q.argmax(axis=1)
-            distinct = [len(set(ls)) for ls in b["labels"]]
-            size = b["labels"].map(len)
-            same = [sum(ls.tolist().count(x) * (ls.tolist().count(x) - 1) for x in set(ls.tolist())) for ls in b["labels"]]
-            agree = [a / (m * (m - 1)) if m > 1 else None for a, m in zip(same, size)]
-            yield pd.DataFrame({
-                "tbl": b["tbl"], "unit": b["unit"], "doc_id": b["doc_id"], "label": [classes[t][i] for t, i in zip(b["tbl"], best)],
-                "confidence": q.max(axis=1) if len(b) else [], "n_judges": size, "n_labels": distinct, "agreement": pd.Series(agree, dtype=float, index=b.index),
-            })
-
-    schema = "tbl string, unit string, doc_id string, label string, confidence double, n_judges int, n_labels int, agreement double"
-    return items.mapInPandas(label_items, schema), {"index": index, "tilts": tilts}
-
-
-def reliability(fitted: dict, classes: dict[str, list[str]]) -> list[tuple[str, str, float]]:
-    """(tbl, judge, mean probability of giving an item's class) of every judge."""
-    out = []
-    for (t, j), i in sorted(fitted["index"].items()):
-        k = len(classes[t])
-        z = np.exp(fitted["tilts"][i][:k, :k])
-        out.append((t, j, float(np.mean(np.diag(z / z.sum(axis=1, keepdims=True))))))
-    return out
+            if not len(b):
+                continue
+            starts, label = flat(b)
+            q, _, onehot, _ = _solve(starts, None if sender.even else sender.tilts(b, judges_of(b)), label, valid_of(b), beta)
+            counts = np.add.reduceat(onehot, starts, axis=0)
+            yield b[["tbl", "unit", "doc_id"]].assign(q=list(q), n=list(counts.astype(np.int64)))
+
+    solved = rows.mapInPandas(label_items, "tbl string, unit string, doc_id string, q array<double>, n array<long>")
+    if has_split:
+        solved = solved.unionByName(hot.select(*_ITEM, "q", "n"))
+    return _labelled(solved, classes), tilts
+
+
+def _joined(left: DataFrame, right: DataFrame, cols: tuple[str, ...], keys: tuple[str, ...] = _ITEM, how: str = "inner") -> DataFrame:
+    """``left`` with columns of ``right`` by ``keys``, of which nulls are equal."""
+    r = right.select(*[F.col(c).alias(f"{c}_") for c in keys], *cols)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in keys])
+    return left.join(r, same, how).drop(*[f"{c}_" for c in keys])
+
+
+def _first_state(split: DataFrame, k: int) -> DataFrame:
+    """(tbl, unit, doc_id, t, q, n) of the items in parts: no tilts, the shares and numbers of their labels."""
+    one = split.select(*_ITEM, F.explode("labels").alias("y")).groupBy(*_ITEM)
+    n = one.agg(F.array(*[F.sum((F.col("y") == i).cast("long")) for i in range(k)]).alias("n"))
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    return n.select(*_ITEM, F.array_repeat(F.lit(0.0), k * k).alias("t"), F.transform("n", lambda x: x / total).alias("q"), "n")
+
+
+def _next_state(rows: DataFrame, classes: dict[str, list[str]], k: int, beta: float) -> DataFrame:
+    """The items in parts after one step from the sums ``v`` of their parts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                v, t = np.stack(b["v"].to_list()), np.stack(b["t"].to_list()).reshape(-1, k, k)
+                valid = np.stack([np.arange(k) < len(classes[x]) for x in b["tbl"]])
+                q = _softmax(np.where(valid, v[:, :k], -1e9))
+                grad, curve = v[:, k : k + k * k].reshape(-1, k, k), v[:, k + k * k : k + 2 * k * k].reshape(-1, k, k)
+                t = t + np.clip((q[:, :, None] * grad - beta * t) / (q[:, :, None] * curve + beta), -2, 2)
+                yield b[["tbl", "unit", "doc_id", "n"]].assign(t=list(t.reshape(len(b), -1)), q=list(q))
+
+    return rows.mapInPandas(run, "tbl string, unit string, doc_id string, t array<double>, q array<double>, n array<long>")
+
+
+def _step(old: np.ndarray, v: np.ndarray, alpha: float) -> np.ndarray:
+    """The Newton step of judges' tilts from their sums of observed counts, expected counts and curvature."""
+    n, e, h = np.split(v, 3, axis=1)
+    return np.clip((n - e - alpha * old) / (h + alpha), -2, 2)
+
+
+def _stepped(rows: DataFrame, k2: int, alpha: float) -> DataFrame:
+    """(tbl, judge, s, move) after one step from the sums ``v``; a judge without sums keeps its tilts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                old = np.stack(b["s"].to_list())
+                step = _step(old, np.stack([np.zeros(3 * k2) if x is None else x for x in b["v"]]), alpha)
+                yield b[["tbl", "judge"]].assign(s=list(old + step), move=np.abs(step).mean(axis=1))
+
+    return rows.mapInPandas(run, "tbl string, judge string, s array<double>, move double")
+
+
+def _labelled(solved: DataFrame, classes: dict[str, list[str]]) -> DataFrame:
+    names = F.create_map(*[x for t, ls in classes.items() for x in (F.lit(t), F.array(*map(F.lit, ls)))])
+    confidence = F.array_max("q")
+    m = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    same = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x * (x - 1))
+    return solved.select(
+        *_ITEM, names[F.col("tbl")][(F.array_position("q", confidence) - 1).cast("int")].alias("label"), confidence.alias("confidence"), m.cast("int").alias("n_judges"),
+        F.size(F.filter("n", lambda x: x > 0)).alias("n_labels"), F.when(m > 1, same / (m * (m - 1))).alias("agreement"),
+    )
+
+
+def reliability(tilts: DataFrame, classes: dict[str, list[str]]) -> DataFrame:
+    """(tbl, judge, reliability): the mean probability with which a judge gives an item's class."""
+    by_size = dict(sorted({t: len(ls) for t, ls in classes.items()}.items()))
+    k = max(by_size.values())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for t, s in zip(b["tbl"], b["s"]):
+                n = by_size[t]
+                found.append(float(np.mean(np.diag(_softmax(np.asarray(s).reshape(k, k)[:n, :n])))))
+            yield pd.DataFrame({"tbl": b["tbl"], "judge": b["judge"], "reliability": found})
+
+    return tilts.select("tbl", "judge", "s").mapInPandas(run, "tbl string, judge string, reliability double")
 
 
 def agreement(items: DataFrame, ratings: DataFrame) -> DataFrame:
     """(tbl, items, observed, expected, alpha): Krippendorff's nominal agreement of every table."""
     pairs = items.where("n_judges > 1").groupBy("tbl").agg(F.count("*").alias("items"), (F.sum(F.col("agreement") * F.col("n_judges")) / F.sum("n_judges")).alias("observed"))
-    paired = ratings.join(items.where("n_judges > 1").select("tbl", "unit", "doc_id"), ["tbl", "unit", "doc_id"], "left_semi")
+    paired = ratings.join(items.where("n_judges > 1").select(*_ITEM), list(_ITEM), "left_semi")
     share = paired.groupBy("tbl", "label").agg(F.count("*").alias("n")).groupBy("tbl").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("same"), F.sum("n").alias("n"))
     expected = (F.col("same") / (F.col("n") * (F.col("n") - 1))).alias("expected")
     out = pairs.join(share.select("tbl", expected), "tbl")

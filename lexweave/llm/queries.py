@@ -124,8 +124,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_judges(spark: SparkSession, folder: str) -> DataFrame:
     """The reliability of every judge."""
-    _, fitted = consensus.fit(p5_ratings(spark, folder), P5_CLASSES)
-    return spark.createDataFrame(consensus.reliability(fitted, P5_CLASSES), "tbl string, judge string, reliability double")
+    return consensus.reliability(consensus.fit(p5_ratings(spark, folder), P5_CLASSES)[1], P5_CLASSES)
 
 
 def p5_agreement(spark: SparkSession, folder: str) -> DataFrame:

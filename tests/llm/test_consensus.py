@@ -28,7 +28,7 @@ def test_trustworthy_judges_outweigh_the_majority(spark):
     majority = sum(max(sorted(set(v)), key=v.count) == str(truth[u]) for u, v in votes.items())
     ours = sum(got[u][0] == str(y) for u, y in truth.items())
     assert ours >= 0.95 * len(truth) and ours > majority
-    rel = {j: r for _, j, r in consensus.reliability(fitted, C)}
+    rel = {r.judge: r.reliability for r in consensus.reliability(fitted, C).collect()}
     assert min(rel[f"good{j}"] for j in range(3)) > 0.75 > 0.5 > max(rel[f"spam{j}"] for j in range(4))
     a = consensus.agreement(items, ratings).first()
     assert 0 < a.observed < 1 and a.alpha < a.observed
@@ -42,11 +42,32 @@ def test_cleaning_and_edges(spark):
     got = {r.unit: (r.label, r.n_judges, r.n_labels) for r in items.collect()}
     assert got == {"u": ("2", 2, 1), "v": ("1", 1, 1)}
     items, fitted = consensus.fit(ratings.limit(0), C, rounds=2)
-    assert items.count() == 0 and consensus.reliability(fitted, C) == []
+    assert items.count() == 0 and consensus.reliability(fitted, C).count() == 0
 
 
-def test_bound(spark, monkeypatch):
-    monkeypatch.setattr(consensus, "MAX_JUDGES", 1)
-    df = spark.createDataFrame([("t", "u", "d", j, T, "0") for j in "abc"], SCH)
-    with pytest.raises(ValueError):
-        consensus.fit(consensus.last_valid(df), C)
+def many_ratings(spark, judges, units):
+    rng, rows = random.Random(3), []
+    for i in range(units):
+        y = rng.randrange(3)
+        for j in range(judges if i == 0 else 5):  # one item that every judge has seen
+            rows.append(("t", f"u{i}", None, f"j{j}", T, str(y if rng.random() < (0.9 if j % 3 else 0.3) else rng.randrange(3))))
+    return consensus.last_valid(spark.createDataFrame(rows, SCH))
+
+
+def test_joined_tilts_give_what_sent_ones_give(spark, monkeypatch):
+    ratings = many_ratings(spark, 30, 60)
+    labels = lambda: {r.unit: (r.label, round(r.confidence, 6)) for r in consensus.fit(ratings, C, rounds=3)[0].collect()}
+    sent = labels()
+    monkeypatch.setattr(consensus, "SENT_BYTES", 0)
+    assert labels() == sent
+
+
+@pytest.mark.parametrize("sent", [64_000_000, 0])
+def test_an_item_in_parts_is_labelled_as_a_whole_one(spark, monkeypatch, sent):
+    ratings = many_ratings(spark, 60, 40)
+    whole = {r.unit: r for r in consensus.fit(ratings, C, rounds=8)[0].collect()}
+    monkeypatch.setattr(consensus, "CHUNK", 10)
+    monkeypatch.setattr(consensus, "SENT_BYTES", sent)
+    cut = {r.unit: r for r in consensus.fit(ratings, C, rounds=8)[0].collect()}
+    assert cut["u0"].n_judges == 60 and (cut["u0"].label, cut["u0"].agreement) == (whole["u0"].label, whole["u0"].agreement)
+    assert sum(cut[u].label == w.label for u, w in whole.items()) >= 39
