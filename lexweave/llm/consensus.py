@@ -36,6 +36,7 @@ ALPHA, BETA, ROUNDS, TOLERANCE = 1.0, 4.0, 40, 0.02
 #: The most labels of one item in a row, and the most bytes of tilts that are sent to the tasks.
 CHUNK, SENT_BYTES = 4096, 64_000_000
 _ITEM = ("tbl", "unit", "doc_id")
+_SEP = "\x1f"  # between a judge's table and name
 
 
 def last_valid(rows: DataFrame) -> DataFrame:
@@ -73,27 +74,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-class _Sender:
-    """How the tasks get the tilts of a batch's judges: from what was sent, or from a column joined to the rows."""
-
-    def __init__(self, sent: tuple[dict, np.ndarray] | str | None, k: int):
-        self.sent, self.k, self.even = sent, k, isinstance(sent, str)
-
-    def tilts(self, b: pd.DataFrame, judge: list[tuple[str, str]]) -> np.ndarray:
-        if self.sent is None:
-            got = np.stack([x for row in b["tilts"] for x in row])
-        else:
-            index, rows = self.sent
-            got = rows[np.fromiter((index[j] for j in judge), np.int64, len(judge))]
-        return got.reshape(-1, self.k, self.k)
-
-
 def _parts(ratings: DataFrame, classes: dict[str, list[str]]) -> DataFrame:
-    """(tbl, unit, doc_id, part, parts, judges, labels): the items, those of more than ``CHUNK`` labels in parts."""
+    """(tbl, unit, doc_id, part, parts, judges, labels): the items, those of more than ``CHUNK`` labels in parts; judges by table and name."""
     code = F.coalesce(*[F.when((F.col("tbl") == t) & (F.col("label") == l), F.lit(i)) for t, ls in classes.items() for i, l in enumerate(ls)])
     coded = ratings.withColumn("y", code).where("y is not null").select(*_ITEM, "judge", "y")
     many = coded.groupBy(*_ITEM).agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(*_ITEM, F.ceil(2 * F.col("n") / CHUNK).cast("int").alias("parts"))
     coded = _joined(coded, many, ("parts",), how="left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    coded = coded.withColumn("judge", F.concat_ws(_SEP, "tbl", "judge"))
     part = F.pmod(F.xxhash64("judge"), F.col("parts")).cast("int").alias("part")
     held = coded.groupBy(*_ITEM, part, "parts").agg(F.sort_array(F.collect_list(F.struct("judge", "y"))).alias("p"))
     return held.select(*_ITEM, "part", "parts", F.col("p.judge").alias("judges"), F.col("p.y").alias("labels"))
@@ -102,7 +89,7 @@ def _parts(ratings: DataFrame, classes: dict[str, list[str]]) -> DataFrame:
 def _with_tilts(items: DataFrame, tilts: DataFrame) -> DataFrame:
     """The rows with the tilts of their judges in a column, in the order of their judges."""
     flat = items.select(*_ITEM, "part", F.explode("judges").alias("judge"))
-    both = flat.join(tilts, ["tbl", "judge"]).groupBy(*_ITEM, "part").agg(F.sort_array(F.collect_list(F.struct("judge", "s"))).alias("p"))
+    both = flat.join(tilts, "judge").groupBy(*_ITEM, "part").agg(F.sort_array(F.collect_list(F.struct("judge", "s"))).alias("p"))
     one = both.select(*_ITEM, "part", F.col("p.s").alias("tilts"))
     return _joined(items, one, ("tilts",), (*_ITEM, "part"))
 
@@ -113,73 +100,76 @@ def fit(ratings: DataFrame, classes: dict[str, list[str]], alpha: float = ALPHA,
     k = max(map(len, classes.values()))
     k2 = k * k
     items = cut(_parts(ratings, classes))
-    whole, split = items.where("parts = 1"), items.where("parts > 1")
-    has_split = not split.isEmpty()
-    judges = cut(items.select("tbl", F.explode("judges").alias("judge")).distinct())
+    judges = cut(items.select(F.explode("judges").alias("judge")).distinct())
     sent = judges.count() * (k2 * 8 + 64) <= SENT_BYTES
+    names = [r["judge"] for r in judges.collect()] if sent else []
+    held = np.zeros((len(names), k2))  # the tilts, where they are sent
+    kind = "int" if sent else "string"
+    if sent:
+        items = cut(_numbered(items, names))
     tilts = judges.withColumn("s", F.array_repeat(F.lit(0.0), k2))
+    whole, split = items.where("parts = 1"), items.where("parts > 1")
+    has_split = not split.isEmpty()
     hot = cut(_first_state(split, k)) if has_split else None
 
-    index: dict[tuple[str, str], int] = {(r["tbl"], r["judge"]): i for i, r in enumerate(judges.collect())} if sent else {}
-    held = np.zeros((len(index), k2))  # the tilts, where they are sent
-
     def rows_of(part: DataFrame, first: bool) -> tuple[DataFrame, object]:
         if first or sent:
-            return part, spark.sparkContext.broadcast("even" if first else (index, held))
+            return part, spark.sparkContext.broadcast("even" if first else held)
         return _with_tilts(part, tilts), spark.sparkContext.broadcast(None)
 
     def valid_of(b: pd.DataFrame) -> np.ndarray:
         return np.stack([np.arange(k) < len(classes[t]) for t in b["tbl"]])
 
-    def flat(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def flat(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the items' labels begin, the labels and their judges."""
         sizes = b["labels"].map(len).to_numpy()
-        return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), np.concatenate(b["labels"].to_list()).astype(np.int64)
+        return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), np.concatenate(b["labels"].to_list()).astype(np.int64), np.concatenate(b["judges"].to_list())
 
-    def judges_of(b: pd.DataFrame) -> list[tuple[str, str]]:
-        return [(t, j) for t, js in zip(b["tbl"], b["judges"]) for j in js]
+    def tilts_of(b: pd.DataFrame, judge: np.ndarray, shared: object) -> np.ndarray | None:
+        """The tilts of a batch's judges, from what was sent or from a column joined to the rows; None before the first step."""
+        if isinstance(shared, str):
+            return None
+        rows = np.stack([x for row in b["tilts"] for x in row]) if shared is None else shared[judge]
+        return rows.reshape(-1, k, k)
 
-    def by_judge(judge: list[tuple[str, str]], q: np.ndarray, p: np.ndarray, onehot: np.ndarray) -> pd.DataFrame:
+    def by_judge(judge: np.ndarray, q: np.ndarray, p: np.ndarray, onehot: np.ndarray) -> pd.DataFrame:
         """Sums per judge of observed counts, expected counts and curvature."""
         w = q[:, :, None]
-        stats = np.stack([w * onehot[:, None, :], w * p, w * p * (1 - p)], axis=1).reshape(len(q), -1)
-        seen: dict[tuple[str, str], int] = {}
-        code = np.fromiter((seen.setdefault(j, len(seen)) for j in judge), np.int64, len(judge))
+        stats = np.concatenate([(w * x).reshape(len(q), -1) for x in (onehot[:, None, :], p, p * (1 - p))], axis=1)
+        seen, code = np.unique(judge, return_inverse=True)
         order = np.argsort(code, kind="stable")
         sums = np.add.reduceat(stats[order], np.searchsorted(code[order], np.arange(len(seen))), axis=0)
-        return pd.DataFrame({"tbl": [t for t, _ in seen], "judge": [j for _, j in seen], "v": list(sums)})
+        return pd.DataFrame({"judge": seen, "v": list(sums)})
 
     def sums_of_whole(rows: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sender = _Sender(shared.value, k)
             for b in batches:
                 if len(b):
-                    (starts, label), judge = flat(b), judges_of(b)
-                    q, p, onehot, item = _solve(starts, None if sender.even else sender.tilts(b, judge), label, valid_of(b), beta)
+                    starts, label, judge = flat(b)
+                    q, p, onehot, item = _solve(starts, tilts_of(b, judge, shared.value), label, valid_of(b), beta)
                     yield by_judge(judge, q[item], p, onehot)
 
-        return rows.mapInPandas(run, "tbl string, judge string, v array<double>")
+        return rows.mapInPandas(run, f"judge {kind}, v array<double>")
 
     def sums_of_split(rows: DataFrame, shared) -> DataFrame:
         """Sums of the judges, and under a null judge those of the items: log likelihood, gradient and curvature."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sender = _Sender(shared.value, k)
             for b in batches:
                 if not len(b):
                     continue
-                (starts, label), judge = flat(b), judges_of(b)
+                starts, label, judge = flat(b)
                 item = np.repeat(np.arange(len(b)), b["labels"].map(len))
-                onehot = np.eye(k)[label]
-                s = 0.0 if sender.even else sender.tilts(b, judge)
+                onehot, s = np.eye(k)[label], tilts_of(b, judge, shared.value)
                 t, q = np.stack(b["t"].to_list()).reshape(-1, k, k), np.stack(b["q"].to_list())
-                p = _softmax(s + t[item] + np.where(valid_of(b), 0.0, -1e9)[item][:, None, :])
-                yield by_judge(judge, q[item], p, onehot).assign(unit=None, doc_id=None)
+                p = _softmax((0.0 if s is None else s) + t[item] + np.where(valid_of(b), 0.0, -1e9)[item][:, None, :])
+                yield by_judge(judge, q[item], p, onehot).assign(tbl=None, unit=None, doc_id=None)
                 like = np.log(np.maximum(np.einsum("mkl,ml->mk", p, onehot), 1e-12))
                 cols = np.concatenate([like, (onehot[:, None, :] - p).reshape(-1, k2), (p * (1 - p)).reshape(-1, k2)], axis=1)
                 got = np.pad(np.add.reduceat(cols, starts, axis=0), ((0, 0), (0, k2 - k)))
-                yield pd.DataFrame({"tbl": b["tbl"], "judge": None, "v": list(got), "unit": b["unit"], "doc_id": b["doc_id"]})
+                yield pd.DataFrame({"judge": pd.Series([None] * len(b), dtype=object), "v": list(got), "tbl": b["tbl"].to_list(), "unit": b["unit"].to_list(), "doc_id": b["doc_id"].to_list()})
 
-        return rows.mapInPandas(run, "tbl string, judge string, v array<double>, unit string, doc_id string")
+        return rows.mapInPandas(run, f"judge {kind}, v array<double>, tbl string, unit string, doc_id string")
 
     summed = F.array(*[F.sum(F.col("v")[i]) for i in range(3 * k2)]).alias("v")
     for i in range(rounds):
@@ -188,42 +178,51 @@ def fit(ratings: DataFrame, classes: dict[str, list[str]], alpha: float = ALPHA,
         if has_split:
             rows, shared = rows_of(_joined(split, hot, ("t", "q")), i == 0)
             both = cut(sums_of_split(rows, shared))
-            sums = sums.unionByName(both.where("judge is not null").select("tbl", "judge", "v"))
+            sums = sums.unionByName(both.where("judge is not null").select("judge", "v"))
             moved = both.where("judge is null").groupBy(*_ITEM).agg(summed)
             hot = cut(_next_state(_joined(hot, moved, ("v",)), classes, k, beta))
-        sums = sums.groupBy("tbl", "judge").agg(summed)
+        sums = sums.groupBy("judge").agg(summed)
         if sent:
             got = sums.toPandas()
-            at = [index[j] for j in zip(got["tbl"], got["judge"])]
-            step = np.zeros_like(held)
-            if at:
+            at, step = got["judge"].to_numpy(), np.zeros_like(held)
+            if len(at):
                 step[at] = _step(held[at], np.stack(got["v"].to_list()), alpha)
             held = held + step
             move = np.abs(step).mean() if step.size else 0.0
         else:
-            stepped = cut(_stepped(tilts.join(sums, ["tbl", "judge"], "left"), k2, alpha))
+            stepped = cut(_stepped(tilts.join(sums, "judge", "left"), k2, alpha))
             move = stepped.agg(F.avg("move")).first()[0] or 0.0
-            tilts = stepped.select("tbl", "judge", "s")
+            tilts = stepped.select("judge", "s")
         if move < tolerance:
             break
     rows, shared = rows_of(whole, False)
     if sent:
-        tilts = spark.createDataFrame([(*j, held[i].tolist()) for j, i in index.items()], "tbl string, judge string, s array<double>")
+        tilts = spark.createDataFrame([(j, held[i].tolist()) for i, j in enumerate(names)], "judge string, s array<double>")
 
     def label_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sender = _Sender(shared.value, k)
         for b in batches:
-            if not len(b):
-                continue
-            starts, label = flat(b)
-            q, _, onehot, _ = _solve(starts, None if sender.even else sender.tilts(b, judges_of(b)), label, valid_of(b), beta)
-            counts = np.add.reduceat(onehot, starts, axis=0)
-            yield b[["tbl", "unit", "doc_id"]].assign(q=list(q), n=list(counts.astype(np.int64)))
+            if len(b):
+                starts, label, judge = flat(b)
+                q, _, onehot, _ = _solve(starts, tilts_of(b, judge, shared.value), label, valid_of(b), beta)
+                counts = np.add.reduceat(onehot, starts, axis=0)
+                yield b[["tbl", "unit", "doc_id"]].assign(q=list(q), n=list(counts.astype(np.int64)))
 
     solved = rows.mapInPandas(label_items, "tbl string, unit string, doc_id string, q array<double>, n array<long>")
     if has_split:
         solved = solved.unionByName(hot.select(*_ITEM, "q", "n"))
-    return _labelled(solved, classes), tilts
+    at = F.instr("judge", _SEP)
+    return _labelled(solved, classes), tilts.select(F.substring("judge", F.lit(1), at - 1).alias("tbl"), F.substring("judge", at + 1, F.length("judge")).alias("judge"), "s")
+
+
+def _numbered(items: DataFrame, names: list[str]) -> DataFrame:
+    """The items with their judges by place in ``names``."""
+    shared = items.sparkSession.sparkContext.broadcast({j: i for i, j in enumerate(names)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(judges=[[shared.value[j] for j in js] for js in b["judges"]])
+
+    return items.mapInPandas(run, "tbl string, unit string, doc_id string, part int, parts int, judges array<int>, labels array<int>")
 
 
 def _joined(left: DataFrame, right: DataFrame, cols: tuple[str, ...], keys: tuple[str, ...] = _ITEM, how: str = "inner") -> DataFrame:
@@ -264,16 +263,16 @@ def _step(old: np.ndarray, v: np.ndarray, alpha: float) -> np.ndarray:
 
 
 def _stepped(rows: DataFrame, k2: int, alpha: float) -> DataFrame:
-    """(tbl, judge, s, move) after one step from the sums ``v``; a judge without sums keeps its tilts."""
+    """(judge, s, move) after one step from the sums ``v``; a judge without sums keeps its tilts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 old = np.stack(b["s"].to_list())
                 step = _step(old, np.stack([np.zeros(3 * k2) if x is None else x for x in b["v"]]), alpha)
-                yield b[["tbl", "judge"]].assign(s=list(old + step), move=np.abs(step).mean(axis=1))
+                yield b[["judge"]].assign(s=list(old + step), move=np.abs(step).mean(axis=1))
 
-    return rows.mapInPandas(run, "tbl string, judge string, s array<double>, move double")
+    return rows.mapInPandas(run, "judge string, s array<double>, move double")
 
 
 def _labelled(solved: DataFrame, classes: dict[str, list[str]]) -> DataFrame:
