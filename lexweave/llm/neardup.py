@@ -15,7 +15,8 @@ with 0.9999; two unrelated texts that share 5 % of their shingles are met with p
 distance in under 1 % of these meetings.
 
 Texts with the same shingle set are one class and enter the index once, so a group of copies that holds a third of all
-rows costs one row there. ``pairs`` can expand the classes or leave them as membership.
+rows costs one row there. ``pairs`` can expand the classes or leave them as membership. A table key that very many classes
+share (boilerplate), and a class of very many copies that are expanded, is cut into parts that meet in tasks of their own.
 
 Defined results: null texts and texts without a full shingle are similar to nothing; equal texts of different keys are
 similar with 1.0 where they have a full shingle (shorter ones are classed by ``groups`` with ``short``); of several deliveries of a key the last holds; empty inputs give empty outputs.
@@ -39,6 +40,8 @@ from lexweave.session import cut
 
 SEGMENTS, WIDTH = 14, 4
 BITS = 128
+#: Rows of one key that meet in one task, and pairs up to which the hashes of their keys are sent to the scan of the texts.
+BUCKET, SENT_PAIRS = 2000, 2_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,27 +129,65 @@ def ball_keys(syms: str = "syms", segments: int = SEGMENTS, width: int = WIDTH)
     return F.array(*keys)
 
 
+def _in_parts(rows: DataFrame, parts: Column, by: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join whose keys are cut into ``parts``: one side holds a row in one of them and the other a copy
+    in each, so every two rows of a key meet once and no task holds a whole hot key."""
+    rows = rows.withColumn("_parts", parts)
+    one = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")
+    return one, rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+
+def _meetings(index: DataFrame, threshold: float) -> DataFrame:
+    """(cls_a < cls_b) of the classes that share a table key and are within the complete distance.
+
+    A sixteenth of the classes tells which keys are hot; they meet in parts, all others by the plain join.
+    """
+    part = index.where(F.pmod(F.xxhash64("cls"), F.lit(16)) == 0).groupBy("k").agg((16 * F.count("*")).alias("n"))
+    hot = cut(part.where(F.col("n") > BUCKET).select("k", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts")))
+    n = hot.count()
+
+    def meet(one: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+        a, b = (side.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "lo", "hi")], *on) for s, side in (("a", one), ("b", other)))
+        apart = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
+        near = a.join(b, on).where((F.col("cls_a") < F.col("cls_b")) & (apart <= _cut(BITS, (1 - threshold) / 2, 3)))
+        return near.select("cls_a", "cls_b")
+
+    if not n:
+        return meet(index, index, ["k"]).distinct()
+    sent = F.broadcast(hot) if n <= SENT_PAIRS else hot
+    one, every = _in_parts(index.join(sent, "k"), F.col("parts"), "cls")
+    cold = index.join(sent, "k", "left_anti")
+    return meet(cold, cold, ["k"]).unionByName(meet(one, every, ["k", "_part"])).distinct()
+
+
+def _needed(texts: DataFrame, met: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that are an end of ``met``: by a sent list of their hashes while it is small, else by a join."""
+    ends = met.select(F.explode(F.array(*[F.struct(F.col(f"key_{s}").alias("key"), F.col(f"version_{s}").alias("version")) for s in "ab"])).alias("e")).select("e.*").distinct()
+    asked = ends.select(F.xxhash64("key", "version").alias("h"))
+    if met.count() <= SENT_PAIRS:
+        asked = F.broadcast(asked)
+    return texts.withColumn("h", F.xxhash64("key", "version")).join(asked, "h", "left_semi").drop("h")
+
+
 def similar_classes(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8, version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Links between classes by their smallest keys (key_a, key_b, jaccard), and the membership (key, cls) of every text.
 
-    The texts are read twice: once for the signatures, which are written to the shared folder, and once to verify.
+    The texts are read twice: once for the signatures, which are written to the shared folder, and once to verify; then only
+    those are moved whose fingerprints are near another's.
     """
     sig = cut(signatures(docs, key, text, size, version))
     members = sig.select("key", "cls")
     reps = sig.groupBy("cls").agg(F.min(F.struct("key", "version")).alias("r"), *[F.first(c).alias(c) for c in ("syms", "lo", "hi")])
-    index = reps.select("cls", "lo", "hi", F.explode(ball_keys()).alias("k"))
-    a, b = (index.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "lo", "hi")], "k") for s in "ab")
-    apart = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
-    met = a.join(b, "k").where((F.col("cls_a") < F.col("cls_b")) & (apart <= _cut(BITS, (1 - threshold) / 2, 3)))
-    met = met.select("cls_a", "cls_b").distinct()
+    met = _meetings(reps.select("cls", "lo", "hi", F.explode(ball_keys()).alias("k")), threshold)
     # the other layer of the fingerprint: its symbols, a byte of each
     byte = F.transform("syms", lambda x: x.bitwiseAND(127).cast("byte"))
     rep = reps.select("cls", "r.key", "r.version", byte.alias("syms"))
     for s in "ab":
         met = met.join(rep.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "key", "version", "syms")]), f"cls_{s}")
     differ = F.aggregate(F.zip_with("syms_a", "syms_b", lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, x: n + x)
-    met = met.where(differ <= _cut(SEGMENTS * WIDTH, 1 - threshold, 4)).select("key_a", "version_a", "key_b", "version_b")
+    met = cut(met.where(differ <= _cut(SEGMENTS * WIDTH, 1 - threshold, 4)).select("key_a", "version_a", "key_b", "version_b"))
     texts = docs.select(F.col(key).cast("string").alias("key"), (F.col(version) if version else F.lit(None).cast("timestamp")).alias("version"), F.col(text).alias("text"))
+    texts = _needed(texts.where("key is not null and text is not null"), met)
     both = met
     for s in "ab":
         side = texts.select(F.col("key").alias(f"key_{s}"), F.col("version").alias("_v"), F.col("text").alias(f"text_{s}"))
@@ -165,7 +206,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, size: int = 5, thresho
             yield pd.DataFrame(out, columns=["key_a", "key_b", "jaccard"])
 
     linked = both.select("key_a", "key_b", "text_a", "text_b").mapInPandas(verify, "key_a string, key_b string, jaccard double")
-    return linked, members
+    return linked.groupBy("key_a", "key_b").agg(F.max("jaccard").alias("jaccard")), members
 
 
 def pairs(docs: DataFrame, key: str, text: str, size: int, threshold: float, version: str | None = None) -> DataFrame:
@@ -175,8 +216,8 @@ def pairs(docs: DataFrame, key: str, text: str, size: int, threshold: float, ver
     of = members.join(rep, "cls").select("rep", "key", "n")
     x, y = of.select(F.col("rep").alias("key_a"), F.col("key").alias("x")), of.select(F.col("rep").alias("key_b"), F.col("key").alias("y"))
     across = linked.join(x, "key_a").join(y, "key_b").select("x", "y")
-    many = of.where("n > 1")
-    within = many.select("rep", F.col("key").alias("x")).join(many.select("rep", F.col("key").alias("y")), "rep").where("x < y").select("x", "y")
+    one, every = _in_parts(of.where("n > 1"), F.ceil(F.col("n") / BUCKET).cast("int"), "key")
+    within = one.withColumnRenamed("key", "x").join(every.select("rep", "_part", F.col("key").alias("y")), ["rep", "_part"]).where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 

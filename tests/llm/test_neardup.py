@@ -48,6 +48,16 @@ def test_pairs_against_brute_force(corpus, size, threshold):
     assert got <= want and len(got) >= 0.99 * len(want) > 20
 
 
+def test_hot_keys_in_parts_and_texts_by_a_join(corpus, monkeypatch):
+    rows, df = corpus
+    df = df.unionByName(df.where("id = '0-0'").selectExpr("explode(sequence(1, 12)) AS i", "text", "cls", "keys").selectExpr("concat('again-', i) AS id", "text", "cls", "keys"))
+    whole = {tuple(r) for r in neardup.pairs(df, "id", "text", 3, 0.5).collect()}
+    monkeypatch.setattr(neardup, "BUCKET", 3)
+    monkeypatch.setattr(neardup, "SENT_PAIRS", 0)
+    assert {tuple(r) for r in neardup.pairs(df, "id", "text", 3, 0.5).collect()} == whole
+    assert sum(a.startswith("again") and b.startswith("again") for a, b in whole) == 66
+
+
 def test_groups_keep_copies_as_membership(corpus):
     _, df = corpus
     g = {r.key: (r.cls, r.copies) for r in neardup.groups(df, "id", "text").collect()}
