@@ -29,6 +29,44 @@ def test_cuts_at_the_coarsest_boundary():
     assert all(unicodedata.category(("x" * 50 + "क" + "ि" * 3 + "y" * 50)[o])[0] != "M" for _, o, _ in long)
 
 
+def own(text, limit):
+    return [text[o:e] for _, o, e in pieces.pieces(text, limit, 0)]
+
+
+def test_sections_by_depth_are_merged_among_siblings_only():
+    body = "A sentence of it. " * 6
+    text = f"# A\n\n{body}\n\n## A1\n\n{body}\n\n## A2\n\n{body}\n\n# B\n\n{body}"
+    assert [p.split("\n")[0] for p in own(text, 400)] == ["# A", "# B"]  # A and its two sections fit
+    assert [p.split("\n")[0] for p in own(text, 300)] == ["# A", "## A2", "# B"]  # A2 is no sibling of B
+    assert [p.split("\n")[0] for p in own(text, 130)] == ["# A", "## A1", "## A2", "# B"]
+
+
+def test_headings_stay_with_what_follows():
+    body = "Words of a long paragraph that goes on. " * 12
+    for heads in ("# A\n\n## A1\n\n", "<h1>A</h1>\n<h2>A1</h2>\n", "ORDER\n\n", "1.1 Facts\n\n"):
+        text = body + "\n\n" + heads + body + "\n\n" + heads + body
+        for limit in (120, 200, 500):
+            for p in own(text, limit):
+                assert not p.rstrip().endswith(heads.strip().split("\n")[-1]), (heads, limit, p)
+
+
+def test_lists_and_markup():
+    items = "".join(f"- item {i} says so\n" + "".join(f"    - part {j} of it\n" for j in range(3)) for i in range(6))
+    got = own("The list:\n" + items, 100)
+    assert all(p.startswith(("The list", "- item")) for p in got) and len(got) > 3
+    html = "".join(f"<p>Paragraph {i} of the page, with words.</p>" for i in range(20))
+    assert all(p.startswith("<p>") and p.endswith("</p>") for p in own(html, 120))
+    assert all(p.endswith("。") for p in own("这是一个句子。" * 40, 30))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["# A\n", "## B\n\n", "1.2 C\n", "- x y z\n", "  - w\n", "word " * 9, "One. Two! ", "\n\n", "<h2>T</h2>", "<li>q</li>\n", "x" * 45]), min_size=1, max_size=40), st.integers(20, 90))
+def test_structured_round_trip(parts, limit):
+    text = "".join(parts)
+    got = own(text, limit)
+    assert "".join(got) == text and all(0 < len(p) <= limit for p in got)
+
+
 def test_split_table(spark):
     df = spark.createDataFrame([("t", "1", 0, "a b " * 100, 9), ("t", "2", 0, "short", 9), ("t", "3", 0, None, 9), ("t", "4", 0, "", 9), ("t", "1", 0, "a b " * 100, 9)], "tbl string, rec_id string, para int, text string, piece int")
     got = pieces.split(df, 150, 20).collect()
