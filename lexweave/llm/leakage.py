@@ -7,8 +7,9 @@ ceil((span - edits) / (edits + 1)) words must remain, so anchors of that length
 anchor hits is then extended to both sides word by word, spending at most ``edits``, and counts when it spans ``span``
 words of the item.
 
-The items are the stated, bounded query set: they are collected under ``max_items`` characters per block and scanned
-block by block beyond it. Documents are only mapped, never shuffled.
+The items are the stated, bounded query set. An automaton takes memory in proportion to its items, so one holds at most
+about ``block_chars`` characters of them, and only so many are collected at a time. More items are dealt out by hash over
+several automata; each costs one scan of the documents. Documents are only mapped, never shuffled.
 
 Defined results: null or empty documents and items give no rows; items under ``span`` words can't leak by definition;
 repeated documents each come out under their own id; equal items all come out; offsets refer to the original text.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from lexweave.llm._text import WORD
 
 SPAN, EDITS = 15, 2
+#: Characters of the items in one automaton (each takes a few hundred bytes there, in every executor).
+BLOCK_CHARS = 2_000_000
 _OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 _CACHE: dict[str, tuple] = {}
 
@@ -41,11 +45,11 @@ def squeezed_words(text: str) -> list[str]:
 def _automaton(items: list[tuple[int, str]], anchor: int) -> tuple:
     key = hashlib.md5(repr((items, anchor)).encode()).hexdigest()
     if key not in _CACHE:
-        words = {i: squeezed_words(t) for i, t in items}
+        words = [(i, squeezed_words(t)) for i, t in items]  # an id may have several texts
         where: dict[str, list[tuple[int, int]]] = {}
-        for i, ws in words.items():
+        for n, (_, ws) in enumerate(words):
             for k in range(len(ws) - anchor + 1):
-                where.setdefault("".join(ws[k : k + anchor]), []).append((i, k))
+                where.setdefault("".join(ws[k : k + anchor]), []).append((n, k))
         auto = ahocorasick.Automaton()
         for pattern, places in where.items():
             auto.add_word(pattern, (len(pattern), places))
@@ -91,7 +95,7 @@ def _reach(words: list[str], i: int, text: str, at: int, bounds: np.ndarray, ste
     return best
 
 
-def passages(text: str, auto, words: dict[int, list[str]], anchor: int, span: int, edits: int) -> list[tuple[int, int, int, int]]:
+def passages(text: str, auto, words: list[tuple[int, list[str]]], anchor: int, span: int, edits: int) -> list[tuple[int, int, int, int]]:
     """(item, words covered, start, end) of every item found in ``text``; offsets in the original, the longest passage of an item."""
     lower = text.lower()
     if len(lower) != len(text):  # a few letters change their length; keep offsets by lowering one by one
@@ -99,8 +103,8 @@ def passages(text: str, auto, words: dict[int, list[str]], anchor: int, span: in
     flat = "".join(WORD.findall(lower))
     hits: dict[int, list[tuple[int, int, int]]] = {}
     for end, (size, places) in auto.iter(flat):
-        for item, k in places:
-            hits.setdefault(item, []).append((k, end - size + 1, end + 1))
+        for n, k in places:
+            hits.setdefault(n, []).append((k, end - size + 1, end + 1))
     if not hits:
         return []
     starts, spots, n = [], [], 0
@@ -114,8 +118,8 @@ def passages(text: str, auto, words: dict[int, list[str]], anchor: int, span: in
         j = int(np.searchsorted(bounds, p, side="right")) - 1
         return spots[j] + (p - starts[j])
 
-    for item, found in hits.items():
-        ws, runs = words[item], []
+    for at, found in hits.items():
+        (item, ws), runs = words[at], []
         offset = np.concatenate([[0], np.cumsum([len(w) for w in ws])])
         for k, s, e in sorted(found, key=lambda h: (h[1] - int(offset[h[0]]), h[0])):
             if runs and runs[-1][3] == s - int(offset[k]) and k <= runs[-1][1]:
@@ -133,21 +137,15 @@ def passages(text: str, auto, words: dict[int, list[str]], anchor: int, span: in
     return out
 
 
-def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, edits: int = EDITS, block_chars: int = 20_000_000) -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, edits: int = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, n_words, start, end): every item of which a passage of ``span`` words stands in a document."""
     anchor = -(-(span - edits) // (edits + 1))
-    listed = sorted((r[0], r[1]) for r in items.select(F.col(item_id).cast("long"), F.col(item_text)).distinct().collect() if r[0] is not None and r[1])
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for i, t in listed:
-        if size + len(t) > block_chars and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((i, t))
-        size += len(t)
-    spark, result = docs.sparkSession, None
+    known = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and length(t) > 0").distinct()
+    blocks = max(1, -(-(known.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars))
+    spark, parts = docs.sparkSession, []
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    for block in blocks:
+    for n in range(blocks):
+        block = sorted(map(tuple, known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n).collect()))
         shared = spark.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -159,6 +157,5 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
                         out += [(d, *p) for p in passages(t, auto, words, anchor, span, edits)]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "start", "end"])
 
-        part = rows.mapInPandas(scan, "doc_id long, item_id long, n_words int, start int, end int")
-        result = part if result is None else result.unionByName(part)
-    return result
+        parts.append(rows.mapInPandas(scan, "doc_id long, item_id long, n_words int, start int, end int"))
+    return reduce(DataFrame.unionByName, parts)
