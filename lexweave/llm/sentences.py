@@ -2,12 +2,13 @@
 
 Characters are tagged as boundary or inside by a linear-chain model with Viterbi decoding. Only characters at which a unit
 can end compete: end marks with the closers behind them, line ends, and in a stretch that no mark ends (up to a blank line,
-a heading, an item or the end of the text) every gap between words; all others are inside. A character's potential is the
+a heading, an item or the end of the text) every gap between words, or between characters in scripts without spaces; all
+others are inside. A character's potential is the
 sum of the weights of its features: the mark, the words around it and their shapes, the case of the text around it, line
 breaks, and how the quotation or bracket it stands in began; the chain adds the cost of neighbouring tags, one table for
 marks and line ends, one for gaps. Blank lines and the end of the text are boundaries by definition.
 
-Weights are trained by an averaged structured perceptron on at most ``max_rows`` texts, whose boundaries are told by
+Weights are trained by an averaged structured perceptron on at most ``max_rows`` whole texts, whose boundaries are told by
 orthography alone where it leaves no doubt. Every text is trained on a second time without the features that a half of its
 marks have by themselves, so the words around a mark carry weight of their own, and a third time with end marks deleted, in
 half of the texts all of them and in the others those of half of the paragraphs: there the ends they stood for are the
@@ -20,12 +21,14 @@ units belongs to none; offsets count Unicode characters of the original text; re
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +45,13 @@ ABBREVIATIONS = set(
 )
 #: Of these, the ones a sentence may well end with.
 ENDING = {"a.m", "p.m", "ors", "co", "etc", "ltd"}
-_OPEN, _CLOSE = "“‘([{«\"'", "”’)]}»\"'"
-_MARKS = ".!?।॥۔؟|…"
-_MARK = re.compile(rf"[{_MARKS}]+[\"'”’)\]}}»]*|\n")
+_OPEN, _CLOSE = "“‘([{«「『\"'", "”’)]}»」』\"'"
+_MARKS = ".!?।॥۔؟|…。！？｡．։።፧။។།"
+_MARK = re.compile(rf"[{_MARKS}]+[\"'”’)\]}}»」』]*|\n")
+_BLANK = re.compile(r"[ \t]*(?:\n|\Z)")
+#: Scripts written without spaces between words: there every character may be followed by a unit's end.
+_SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]\p{M}*")
+_YEAR_AFTER = re.compile(r"\s*[\[(]?(?:1[89]|20)\d\d\b")
 _WORD_BEFORE = re.compile(r"[^\s\"'“”‘’(\[]*$")
 _WORD_AFTER = re.compile(r"[^\s]+")
 _ITEM = re.compile(r"(?:\(?[a-zA-Z]{1,3}\)|\(?\d{1,3}[.)]|[ivx]{1,4}[.)]|[-*•–])(?=\s)")
@@ -126,7 +133,7 @@ def candidates(text: str) -> list[Candidate]:
     """The places where a unit can end, in order, with features; ``sure`` is what orthography alone tells, if anything."""
     case_at, spans = _cases(text), _spans(text)
     out: list[Candidate] = []
-    line_start = 0
+    line_start, block_start = 0, True
     at_span = 0
     open_now: list[tuple[int, int, bool]] = []
     for m in _MARK.finditer(text):
@@ -139,17 +146,18 @@ def candidates(text: str) -> list[Candidate]:
         if m.group() == "\n":
             body = text[max(0, i - 40) : i].rstrip()[-1:]
             end = len(text[line_start:i].rstrip()) + line_start
-            blank = bool(re.match(r"[ \t]*(?:\n|$)", text[i + 1 : i + 60]))
+            blank = bool(_BLANK.match(text, i + 1))
             line = text[line_start:i].strip()
-            block_start = line_start == 0 or text[:line_start].endswith("\n\n") or bool(re.search(r"\n[ \t]*\n$", text[max(0, line_start - 8) : line_start]))
             line_start = i + 1
             if not line:
+                block_start = True
                 continue
+            first, block_start = block_start, False
             item = bool(_ITEM.match(text[i + 1 : i + 12].lstrip(" \t")))
             after = _WORD_AFTER.search(text, i + 1)
             nxt = after.group() if after else ""
             marked = body in _MARKS + ":;" or (body in _CLOSE and line[-2:-1] in _MARKS)
-            heading = block_start and not marked and len(line) <= 42 and not blank and _shape(nxt) != "lower" or block_start and len(line) <= 42 and not marked and case == "lower"
+            heading = first and not marked and len(line) <= 42 and (not blank and _shape(nxt) != "lower" or case == "lower")
             forced = blank
             feats = [f"nl:{'blank' if blank else 'item' if item else 'heading' if heading else 'wrap'}", f"nl-mark:{body if marked else '-'}", f"nl-next:{_shape(nxt)}"]
             if out and out[-1].end == end:  # a mark closes the line: the line end adds to it
@@ -198,8 +206,8 @@ def candidates(text: str) -> list[Candidate]:
             sure = True
         elif item or quoted == "mid":
             sure = False
-        elif re.match(r"^(?:AVR|avr)$", nxt) or (nxt[:1] in "[(" and re.match(r"[\[(]\d{4}[\])]", nxt)):
-            sure = False
+        elif nxt[:1] in "[(" and re.match(r"[\[(]\d{4}[\])]", nxt) or (1 < len(nxt) < 6 and nxt.isalpha() and _YEAR_AFTER.match(text, after.end())):
+            sure = False  # the year of a citation, or reports before it
         elif abbr and before in ENDING and nshape in ("upper", "qupper"):
             sure = case == "mixed"
         elif abbr or before in ENDING:
@@ -225,6 +233,24 @@ def candidates(text: str) -> list[Candidate]:
     return _with_gaps(text, out, case_at)
 
 
+def _gaps(text: str, start: int, end: int) -> list[tuple[str, str, int]]:
+    """(before, after, end) of the gaps in a stretch: between words of a line, and in scripts without spaces between characters."""
+    found = [(m.start(), m.end()) for m in _WORD_AFTER.finditer(text, start, end)]
+    if not text.isascii() and _SPACELESS.search(text, start, end):
+        cut = []
+        for a, b in found:
+            for m in _SPACELESS.finditer(text, a, b):
+                if m.start() > a:
+                    cut.append((a, m.start()))
+                cut.append(m.span())
+                a = m.end()
+            if a < b:
+                cut.append((a, b))
+        joined = [f"{text[max(start, a[0] - 1) : a[1]]}" if a[1] == b[0] else text[a[0] : a[1]] for a, b in pairwise(cut)]
+        return [(w, text[b[0] : b[1] + (a[1] == b[0])], a[1]) for w, (a, b) in zip(joined, pairwise(cut)) if "\n" not in text[a[1] : b[0]]]
+    return [(text[a[0] : a[1]], text[b[0] : b[1]], a[1]) for a, b in pairwise(found) if "\n" not in text[a[1] : b[0]]]
+
+
 def _with_gaps(text: str, cands: list[Candidate], case_at: Callable[[int], str]) -> list[Candidate]:
     """The candidates and, in every stretch that no mark ends, the gaps between its words.
 
@@ -239,7 +265,7 @@ def _with_gaps(text: str, cands: list[Candidate], case_at: Callable[[int], str])
             continue
         if c.mark is None:
             taken = {h.end for h in held}
-            found = [(a[0], b[0], a.end()) for a, b in pairwise(_WORD_AFTER.finditer(text, at, c.end)) if a.end() not in taken and "\n" not in text[a.end() : b.start()]]
+            found = [g for g in _gaps(text, at, c.end) if g[2] not in taken]
             for k, (word, after, end) in enumerate(found):
                 before = word.lower().strip(_OPEN + _CLOSE + ",;:")
                 low, shape, case = after.strip(_OPEN + _CLOSE).lower().rstrip(_MARKS + ",;"), _shape(after), case_at(end)
@@ -269,7 +295,7 @@ def without_marks(text: str) -> tuple[str, set[int]]:
                 b += 1
             while a > at and text[a - 1].isspace():
                 a -= 1
-            spaced = c.end == len(text) or text[c.end].isspace()
+            spaced = c.end == len(text) or text[c.end].isspace() or _SPACELESS.match(text, c.end)
             if spaced and a > at and (whole or xxhash.xxh3_64_intdigest(f"{para}") % 2):
                 parts.append(text[at:a])
                 size, at = size + a - at, b
@@ -355,15 +381,28 @@ def train(texts: list[str], rounds: int = 8) -> Model:
     return Model(dict(total), tuple(tuple(map(tuple, x)) for x in chain_total))
 
 
-def training_texts(df: DataFrame, text: str, max_rows: int = 2000) -> list[str]:
-    """At most ``max_rows`` texts, those with the smallest hashes of a share drawn by hash."""
-    n = df.where(F.col(text).isNotNull()).count()
-    part = min(1.0, 2 * max_rows / max(1, n))
-    rows = df.select(F.substring(text, 1, 6000).alias("t"), F.xxhash64(text).alias("h")).where("t is not null")
-    rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int(part * (1 << 30)))
+def training_texts(df: DataFrame, text: str, max_rows: int = 2000, max_chars: int = 100_000) -> list[str]:
+    """At most ``max_rows`` whole texts, those with the smallest hashes of a share drawn by hash; none of over ``max_chars``."""
+    fit = df.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).where(F.col("t").isNotNull() & (F.length("t") <= max_chars))
+    part = min(1.0, 2 * max_rows / max(1, fit.count()))
+    rows = fit.where(F.pmod("h", F.lit(1 << 30)) < int(part * (1 << 30)))
     return [r["t"] for r in rows.orderBy("h", "t").limit(max_rows).collect()]
 
 
+def stripped_scores(texts: list[str], model: Model) -> dict[str, tuple[int, int, int]]:
+    """(ends given, true ends, both) by script on texts whose sure marks were deleted; ends at line ends and the text's end count too."""
+    out: dict[str, list[int]] = {}
+    for t in texts:
+        bare, true = without_marks(t)
+        letters = Counter(unicodedata.name(c, "?").split()[0] for c in bare[:4000] if c.isalpha())
+        script = letters.most_common(1)[0][0].lower() if letters else "none"
+        given = set(ends(bare, model))
+        row = out.setdefault(script, [0, 0, 0])
+        for i, n in enumerate((len(given), len(true), len(given & true))):
+            row[i] += n
+    return {s: tuple(r) for s, r in out.items()}
+
+
 def units(texts: DataFrame, model: Model) -> DataFrame:
     """(tbl, rec_id, end_pos) of every unit of (tbl, rec_id, text)."""
     shared = texts.sparkSession.sparkContext.broadcast((model.weights, model.chain))

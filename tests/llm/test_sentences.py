@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lexweave.llm import sentences as se
@@ -82,3 +84,33 @@ def test_marks_are_deleted_with_their_ends_kept():
 def test_more_marks(mark, model):
     first = f"کیا وہ آیا{mark}"
     assert any(c.end == len(first) and c.sure for c in se.candidates(first + " وہ چلا گیا۔"))
+
+
+def _chinese(rng):
+    who = rng.choice(["法院", "原告", "被告", "证人", "警方"])
+    did = rng.choice(["驳回了上诉", "提交了证据", "离开了现场", "支持这一请求", "没有回答问题", "认为理由不足"])
+    when = rng.choice(["昨天", "当天晚上", "在审理中", "随后", ""])
+    return who + when + did
+
+
+def _thai(rng):
+    who = rng.choice(["ศาล", "โจทก์", "จำเลย", "พยาน", "ตำรวจ"])
+    did = rng.choice(["ยกฟ้องคดีนี้", "ยื่นหลักฐานใหม่", "ออกจากที่เกิดเหตุ", "เห็นด้วยกับคำขอ", "ไม่ตอบคำถาม"])
+    return who + rng.choice(["เมื่อวาน", "ในวันนั้น", ""]) + did
+
+
+@pytest.mark.parametrize(("make", "mark"), [(_chinese, "。"), (_thai, "。"), (lambda r: " ".join([r.choice(["the court", "the state", "he", "counsel"]), r.choice(["dismissed", "heard", "left"]), r.choice(["the appeal", "the case", "it", "the matter"])]), ". ")])
+def test_scripts_with_marks_deleted(make, mark):
+    rng = random.Random(4)
+    text = lambda: "".join(make(rng) + mark for _ in range(rng.randrange(3, 9))).strip()
+    model = se.train([text() for _ in range(300)])
+    held = [text() for _ in range(80)]
+    for t in held[:10]:
+        assert len(se.ends(t, model)) == t.count(mark.strip())  # with its marks every unit is found
+    given, true, both = map(sum, zip(*se.stripped_scores(held, model).values()))
+    assert 2 * both / (given + true) > 0.85, (given, true, both)
+
+
+def test_case_and_blanks_far_down(model):
+    text = "Facts\n\n" + "He left. " * 500 + "\n" + " " * 200 + "\n" + "the order stands"
+    assert cut(text, model)[-1] == "the order stands" and cut(text, model)[0] == "Facts"
