@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,22 @@ def last_delivery(df: DataFrame, key: str, at: str, *cols: str) -> DataFrame:
     return kept.select(key, *[f"_r.{c}" for c in cols])
 
 
+#: Short forms of the words that name a kind of court, words that say nothing about which court is meant, words
+#: for a provision, and words of an act's name that don't tell it from others.
+COURT_SHORT = {"hc": "high court", "sc": "supreme court", "ct": "court", "highcourt": "high court", "apex": "supreme"}
+COURT_FILLER = {"in", "the", "of", "at", "judicature", "honble", "bench", "appellate", "side", "for", "state"}
+PROVISION = {"section", "sections", "sec", "s", "ss", "us", "u", "article", "art", "dhara", "anuchchhed", "under", "r", "w"}
+ACT_FILLER = {"in", "the", "of", "and", "act", "code", "law"}
+
+
+def court_matcher(listed: list[tuple]) -> Callable[[str], str]:
+    return canon.court_matcher(listed, COURT_SHORT, COURT_FILLER)
+
+
+def provision_matcher(listed: list[tuple]) -> Callable[[str], str]:
+    return canon.provision_matcher(listed, PROVISION, ACT_FILLER)
+
+
 def p2_values(spark: SparkSession, folder: str) -> DataFrame:
     """(tbl, rec_id, pos, value) of every entry of jurisdiction (pos -1) and relevant_statutes."""
     parts = []
@@ -34,8 +51,8 @@ def p2_mapped(spark: SparkSession, folder: str) -> DataFrame:
     values = p2_values(spark, folder)
     by_list = []
     for rows, build, entry, picked in (
-        (courts, canon.court_matcher, 0, values.where("pos < 0")),
-        (statutes, canon.provision_matcher, 1, values.where("pos >= 0")),
+        (courts, court_matcher, 0, values.where("pos < 0")),
+        (statutes, provision_matcher, 1, values.where("pos >= 0")),
     ):
         listed = sorted(tuple(r) for r in rows.where(F.col(rows.columns[0]).isNotNull()).limit(canon.MAX_ENTRIES + 1).collect())
         by_list.append(canon.mapped(picked, listed, build, entry=entry))
