@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,34 +73,78 @@ def zone_breakdown(terms: DataFrame, post: DataFrame, norms: DataFrame, zones: d
     return by.withColumn("share", F.col("part") / F.sum("part").over(Window.partitionBy("query_id", "doc_id"))).drop("part")
 
 
+def cosine_norm(tokens: Column) -> Column:
+    """The length of a text's vector of 1 + log10 tf, from its sorted words alone: no postings are moved for it."""
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"))
+
+    def closed(a: Column) -> Column:
+        return a["sum"] + F.when(a["n"] > 0, F.pow(1 + F.log10(a["n"].cast("double")), 2)).otherwise(0.0)
+
+    def step(a: Column, x: Column) -> Column:
+        same = a["w"] == x
+        return F.struct(x.alias("w"), F.when(same, a["n"] + 1).otherwise(1).alias("n"), F.when(same, a["sum"]).otherwise(closed(a)).alias("sum"))
+
+    return F.aggregate(F.array_sort(tokens), start, step, lambda a: F.sqrt(closed(a)))
+
+
 def tfidf(terms: DataFrame, post: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): cosine of (1 + log10 tf) documents and idf-weighted queries."""
-    dw = 1 + F.log10("tf")
-    norm = post.groupBy("doc_id").agg(F.sqrt(F.sum(dw * dw)).alias("dn"))
+    """(query_id, doc_id, score): cosine of (1 + log10 tf) documents, whose norms the postings carry as ``dn``, and idf-weighted queries."""
     qw = F.when(F.col("weight") < 1, F.col("weight")).otherwise(1 + F.log10("weight")) * F.col("idf_log10")
     q = terms.join(stats.select("term", "idf_log10"), "term").where("idf_log10 > 0").select("query_id", "term", qw.alias("qw"))
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = post.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(dw * F.col("qw")).alias("dot"))
-    return dots.join(norm, "doc_id").join(qn, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
+    dots = post.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum((1 + F.log10("tf")) * F.col("qw")).alias("dot"), F.first("dn").alias("dn"))
+    return dots.join(qn, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
 
 
-def gram_bm25(grams: DataFrame, weights: DataFrame, top: int = 300) -> DataFrame:
+def gram_bm25(grams: DataFrame, post: DataFrame, stats: DataFrame, top: int = 300) -> DataFrame:
     """(query_id, doc_id, score) over the distinct n-grams of each query; the best ``top`` are kept before any candidate filter."""
-    q = grams.select("query_id", "term").distinct()
-    return topk(weights.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score")), top).drop("rank")
-
+    q = grams.select("query_id", "term").distinct().withColumn("weight", F.lit(1.0))
+    return topk(bm25(q, post, stats, k1=1.2), top).drop("rank")
 
-def maxp(queries: DataFrame, passages: DataFrame, dims: str = "embedding") -> DataFrame:
-    """(query_id, doc_id, score): the best cosine of a document's passages; ``queries`` is a stated set, taken against all rows in blocks."""
 
-    def unit(c: Column) -> Column:
-        n = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        return F.transform(c, lambda x: x.cast("double") / n)
+def maxp(queries: DataFrame, passages: DataFrame, dims: str = "embedding", block: int = 20_000) -> DataFrame:
+    """(query_id, doc_id, score): the best cosine of a document's passages; ``queries`` is a stated set, taken against all rows.
 
-    q = queries.select("query_id", unit(F.col(dims)).alias("_q"))
-    p = passages.select("doc_id", unit(F.col(dims)).alias("_p"))
-    dot = F.aggregate(F.zip_with("_q", "_p", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return p.crossJoin(F.broadcast(q)).groupBy("query_id", "doc_id").agg(F.max(dot).alias("score"))
+    Blocks of ``block`` queries are sent to the tasks, which multiply them with a batch of passages and keep the best of each
+    document in it, so what leaves a task is a row per query, document and batch. More blocks cost a scan each. Vectors without
+    a length, and nulls, have no score.
+    """
+    rows = queries.select("query_id", F.col(dims).cast("array<double>").alias("v")).where("v is not null")
+    blocks = max(1, -(-rows.count() // block))
+    types = dict(queries.dtypes)["query_id"], dict(passages.dtypes)["doc_id"]
+    parts = []
+    for n in range(blocks):
+        got = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas()
+        if len(got):
+            parts.append((got["query_id"].to_numpy(), _unit(np.stack(got["v"].to_list()))))
+    spark = queries.sparkSession
+    schema = f"query_id {types[0]}, doc_id {types[1]}, score double"
+    out = []
+    for part in parts:
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            for b in batches:
+                b = b.sort_values("doc_id", kind="stable")
+                if not len(b):
+                    continue
+                p = _unit(np.stack(b["v"].to_list()))
+                docs, starts = np.unique(b["doc_id"].to_numpy(), return_index=True)
+                best = np.maximum.reduceat(p @ q.T, starts, axis=0)
+                yield pd.DataFrame({"query_id": np.tile(ids, len(docs)), "doc_id": np.repeat(docs, len(ids)), "score": best.ravel()})
+
+        given = passages.select("doc_id", F.col(dims).cast("array<double>").alias("v")).where("v is not null and doc_id is not null")
+        out.append(given.mapInPandas(run, schema))
+    if not out:
+        return spark.createDataFrame([], schema)
+    best = reduce(DataFrame.unionByName, out).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return best.where(~F.isnan("score"))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, length, out=np.full_like(rows, np.nan), where=length > 0)
 
 
 def qpp_pre(terms: DataFrame, stats: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -223,24 +270,29 @@ def linear(features: DataFrame, weights: dict[str, float]) -> DataFrame:
     return features.select("query_id", "doc_id", sum((F.lit(w) * F.coalesce(F.col(f), F.lit(0.0)) for f, w in weights.items()), F.lit(0.0)).alias("score"))
 
 
-def query_tables(docs: DataFrame, doc_id: str, text: str, terms: DataFrame, b: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(postings with tf, norm; statistics) of the terms a batch asks for.
+def query_tables(docs: DataFrame, doc_id: str, text: str, terms: DataFrame, b: float = 1.0, tokens: Column | None = None, cosine: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(postings with tf, norm and, with ``cosine``, dn; statistics) of the terms a batch asks for.
 
-    Texts are cut into words once. Words no query has are dropped before the only shuffle, so what moves grows with the hits
-    and not with the corpus; every document also sends one row without a term, from which the totals are taken. The hits are
-    written to the shared folder once: totals, statistics and scores read them there instead of cutting the texts again.
+    Texts are cut into words (or ``tokens``) once. Words no query has are dropped before the only shuffle, so what moves grows
+    with the hits and not with the corpus; every document also sends one row without a term, from which the totals are taken.
+    The hits are written to the shared folder once: totals, statistics and scores read them there instead of cutting the texts
+    again.
     """
-    toks = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w"))
-    rows = toks.select("doc_id", F.size("_w").alias("len"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
+    cut_up = words(F.col(text)) if tokens is None else tokens
+    toks = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(cut_up, F.array().cast("array<string>")).alias("_w"))
+    own = [F.size("_w").alias("len"), *([cosine_norm(F.col("_w")).alias("dn")] if cosine else [])]
+    kept = ["len", *(["dn"] if cosine else [])]
+    once = toks.select("doc_id", *own, "_w")  # a projection of its own, else each word would reckon them again
+    rows = once.select("doc_id", *kept, F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
     asked = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("")))
-    post = cut(candidates_for(rows, asked).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")))
+    post = cut(candidates_for(rows, asked).groupBy("term", "doc_id", *kept).agg(F.count("*").alias("tf")))
     one = F.col("term") == ""
     totals = post.agg(F.sum(F.when(one, 1)).alias("n"), F.avg(F.when(one, F.col("len"))).alias("avg_len"))
     norm = F.when(F.col("avg_len") > 0, F.lit(1.0 - b) + F.lit(b) * F.col("len") / F.col("avg_len")).otherwise(F.lit(1.0))
     df = post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(totals.select("n")))
     n = F.col("n").cast("double")
     stats = df.select("term", "df", "cf", ix.idf_log10(n, F.col("df")).alias("idf_log10"), ix.idf_bm25(n, F.col("df")).alias("idf_bm25"))
-    return post.crossJoin(F.broadcast(totals)).select("term", "doc_id", "tf", norm.alias("norm")), stats
+    return post.crossJoin(F.broadcast(totals)).select("term", "doc_id", "tf", norm.alias("norm"), *kept[1:]), stats
 
 
 def search_tables(docs: DataFrame, doc_id: str, text: str, b: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:

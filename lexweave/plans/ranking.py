@@ -35,13 +35,13 @@ def similar_cases(spark: SparkSession, folder: str) -> DataFrame:
 
 def judging_pool(spark: SparkSession, folder: str) -> DataFrame:
     """What two systems rank in their first ten, once."""
-    a, b = (sc.topk(s(spark, folder), 10).select("query_id", "doc_id") for s in (se.bm25_scores, se.tfidf_scores))
+    a, b = (sc.topk(s, 10).select("query_id", "doc_id") for s in se.channels(spark, folder))
     return a.union(b).distinct()
 
 
 def run_difference(spark: SparkSession, folder: str) -> DataFrame:
     """What only one of two systems ranks in its first ten."""
-    a, b = (sc.topk(s(spark, folder), 10).select("query_id", "doc_id") for s in (se.bm25_scores, se.tfidf_scores))
+    a, b = (sc.topk(s, 10).select("query_id", "doc_id") for s in se.channels(spark, folder))
     return a.exceptAll(b).withColumn("only", F.lit("bm25")).union(b.exceptAll(a).withColumn("only", F.lit("tfidf")))
 
 
@@ -54,7 +54,8 @@ def short_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 def learned_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """The weighted sum of three normalised channels."""
-    f = ln.feature_table({"bm25": se.bm25_scores(spark, folder), "tfidf": se.tfidf_scores(spark, folder), "grams": se.gram_scores(spark, folder)})
+    bm25, tfidf = se.channels(spark, folder)
+    f = ln.feature_table({"bm25": bm25, "tfidf": tfidf, "grams": se.gram_scores(spark, folder)})
     return se._round(sc.topk(sc.linear(f, {"bm25": 0.5, "tfidf": 0.2, "grams": 0.3}), 10), "score")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import words
+from lexweave.functions.text import ngrams, plain_words, words
 from lexweave.operators import index as ix
 from lexweave.operators import score as sc
 from lexweave.session import cut
@@ -24,11 +24,17 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "eval_items").where("item_id % 20 = 0 and text is not null").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _search(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents, query terms, postings of these terms, their statistics)."""
+def _search(spark: SparkSession, folder: str, cosine: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, query terms, postings of these terms, their statistics): built once a query and shared by its channels."""
     d = docs(spark, folder)
     terms = sc.query_terms(items(spark, folder), "query_id", "text")
-    return d, terms, *sc.query_tables(d, "doc_id", "text", terms)
+    return d, terms, *sc.query_tables(d, "doc_id", "text", terms, cosine=cosine)
+
+
+def channels(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(BM25 scores, tf-idf scores) from the same postings."""
+    _, terms, post, stats = _search(spark, folder, cosine=True)
+    return sc.bm25(terms, post, stats), sc.tfidf(terms, post, stats)
 
 
 def _round(df: DataFrame, *cols: str) -> DataFrame:
@@ -65,8 +71,7 @@ def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tfidf_scores(spark: SparkSession, folder: str) -> DataFrame:
-    d, terms, _, stats = _search(spark, folder)
-    return sc.tfidf(terms, ix.postings(ix.token_rows(d, "doc_id", "text")), stats)  # the documents' norms need all their words
+    return channels(spark, folder)[1]
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,10 +83,9 @@ def tfidf_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gram_scores(spark: SparkSession, folder: str) -> DataFrame:
-    d = docs(spark, folder)
     q = ix.gram_rows(items(spark, folder), "query_id", "text").withColumnRenamed("doc_id", "query_id")
-    grams = sc.candidates_for(ix.gram_rows(d, "doc_id", "text"), q)  # statistics of other n-grams are not needed
-    return sc.gram_bm25(q, ix.gram_weights(grams, ix.gram_lengths(d, "doc_id", "text")))
+    d = docs(spark, folder).select("doc_id", plain_words(F.col("text")).alias("_p"))  # once a text, not once a gram
+    return sc.gram_bm25(q, *sc.query_tables(d, "doc_id", "_p", q, 0.9, ngrams(F.col("_p"), 3)))
 
 
 def ngram_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,32 +100,36 @@ def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return last.select("doc_id", "para", zone.alias("zone"), F.col("z.text").alias("text")).where("text is not null")
 
 
+def _zone_terms(spark: SparkSession, folder: str) -> DataFrame:
+    q = table(spark, folder, "rag_questions").where("id is not null and text is not null").groupBy("id").agg(F.max(F.struct("loaded_at", "text")).alias("r"))
+    q = q.where("try_cast(substring(id, 2) as int) % 20 = 0").select(F.col("id").alias("query_id"), F.col("r.text").alias("text"))
+    return sc.query_terms(q, "query_id", "text")
+
+
 def _zoned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(postings by zone, norms, query terms, lengths by zone)."""
     rows = paragraphs(spark, folder).select("doc_id", "zone", F.explode(words(F.col("text"))).alias("term"))
     post = cut(ix.postings(rows, ("zone",)))  # lengths, totals and scores read it; the texts are cut into words once
-    rows = post.select("doc_id", "zone", F.explode(F.array_repeat("term", F.col("tf").cast("int"))).alias("term"))
-    q = table(spark, folder, "rag_questions").where("id is not null and text is not null").groupBy("id").agg(F.max(F.struct("loaded_at", "text")).alias("r"))
-    q = q.where("try_cast(substring(id, 2) as int) % 20 = 0").select(F.col("id").alias("query_id"), F.col("r.text").alias("text"))
-    return post, ix.length_norms(ix.zone_lengths(rows), 1.0, "zone"), sc.query_terms(q, "query_id", "text"), rows
+    lengths = post.groupBy("doc_id", "zone").agg(F.sum("tf").alias("len"))
+    return post, ix.length_norms(lengths, 1.0, "zone"), _zone_terms(spark, folder), lengths
 
 
 def bm25f_zones(spark: SparkSession, folder: str) -> DataFrame:
-    post, norms, terms, rows = _zoned(spark, folder)
-    stats = ix.term_stats(post, rows.agg(F.count_distinct("doc_id").alias("n")))
+    post, norms, terms, lengths = _zoned(spark, folder)
+    stats = ix.term_stats(sc.candidates_for(post, terms), lengths.agg(F.count_distinct("doc_id").alias("n")))
     return _round(sc.topk(sc.bm25f(terms, sc.candidates_for(post, terms), stats, norms, ZONES), 10), "score")
 
 
 def zone_breakdown(spark: SparkSession, folder: str) -> DataFrame:
-    post, norms, terms, rows = _zoned(spark, folder)
-    stats = ix.term_stats(post, rows.agg(F.count_distinct("doc_id").alias("n")))
+    post, norms, terms, lengths = _zoned(spark, folder)
+    stats = ix.term_stats(sc.candidates_for(post, terms), lengths.agg(F.count_distinct("doc_id").alias("n")))
     head = sc.topk(sc.bm25f(terms, sc.candidates_for(post, terms), stats, norms, ZONES), 10).select("query_id", "doc_id")
     parts = sc.zone_breakdown(terms, sc.candidates_for(post, terms), norms, ZONES)
     return _round(parts.join(head, ["query_id", "doc_id"], "left_semi"), "share")
 
 
 def zone_lengths(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, _, rows = _zoned(spark, folder)
-    return ix.zone_lengths(rows).groupBy("zone").agg(F.count("*").alias("docs"), F.sum("len").alias("words"), F.max("len").alias("longest"))
+    return _zoned(spark, folder)[3].groupBy("zone").agg(F.count("*").alias("docs"), F.sum("len").alias("words"), F.max("len").alias("longest"))
 
 
 def champion_lists(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,9 +147,9 @@ def tier_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def qpp_pre_post(spark: SparkSession, folder: str) -> DataFrame:
-    d, terms, _, stats = _search(spark, folder)
+    d, terms, postings, stats = _search(spark, folder)
     pre = sc.qpp_pre(terms, stats, d.agg(F.count("*").alias("n")))
-    post = sc.qpp_post(sc.topk(bm25_scores(spark, folder), 10))
+    post = sc.qpp_post(sc.topk(sc.bm25(terms, postings, stats), 10))
     both = pre.join(post, "query_id").withColumn("confidence", sc.confidence(F.col("max_idf"), F.col("gap")))
     return _round(both, "max_idf", "avg_idf", "scope", "gap", "top_ratio", "spread", "confidence")
 
@@ -157,20 +165,20 @@ def mix_max(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fuse_minmax(spark: SparkSession, folder: str) -> DataFrame:
-    return _round(sc.topk(sc.fuse(bm25_scores(spark, folder), tfidf_scores(spark, folder), 0.7), 10), "score")
+    return _round(sc.topk(sc.fuse(*channels(spark, folder), 0.7), 10), "score")
 
 
 def fuse_zscore(spark: SparkSession, folder: str) -> DataFrame:
-    return _round(sc.topk(sc.fuse(bm25_scores(spark, folder), tfidf_scores(spark, folder), 0.7, sc.z_score), 10), "score")
+    return _round(sc.topk(sc.fuse(*channels(spark, folder), 0.7, sc.z_score), 10), "score")
 
 
 def rrf(spark: SparkSession, folder: str) -> DataFrame:
-    runs = [sc.topk(s(spark, folder), 50).withColumn("weight", F.lit(w)) for s, w in ((bm25_scores, 1.0), (tfidf_scores, 0.8))]
+    runs = [sc.topk(s, 50).withColumn("weight", F.lit(w)) for s, w in zip(channels(spark, folder), (1.0, 0.8))]
     return _round(sc.topk(sc.rrf(runs[0].unionByName(runs[1])), 10), "score")
 
 
 def combsum(spark: SparkSession, folder: str) -> DataFrame:
-    runs = [sc.topk(s(spark, folder), 50).withColumn("weight", F.lit(w)).withColumn("run", F.lit(n)) for n, s, w in (("a", bm25_scores, 1.0), ("b", tfidf_scores, 0.8))]
+    runs = [sc.topk(s, 50).withColumn("weight", F.lit(w)).withColumn("run", F.lit(n)) for s, n, w in zip(channels(spark, folder), "ab", (1.0, 0.8))]
     return _round(sc.topk(sc.combsum(runs[0].unionByName(runs[1])), 10), "score")
 
 
@@ -181,7 +189,7 @@ def net_score(spark: SparkSession, folder: str) -> DataFrame:
 def statute_bridge(spark: SparkSession, folder: str) -> DataFrame:
     """Precedents boosted by the provisions the questions retrieve."""
     st = table(spark, folder, "statutes").groupBy("id").agg(F.max(F.struct("loaded_at", "text")).alias("r")).select(F.col("id").alias("doc_id"), F.concat_ws(" ", "r.text").alias("text"))
-    _, _, terms, _ = _zoned(spark, folder)
+    terms = _zone_terms(spark, folder)
     post, stats, norms = sc.search_tables(st, "doc_id", "text")
     hits = sc.bm25(terms, post, stats, norms).withColumn("score", F.round("score", 9))  # equal provisions tie exactly
     prec = table(spark, folder, "precedents").select(F.col("id").alias("doc_id"), F.explode("relevant_statute_ids").alias("ref")).where("ref is not null")

@@ -176,16 +176,18 @@ def question_routes(spark: SparkSession, folder: str) -> DataFrame:
 
 def sub_query_votes(spark: SparkSession, folder: str) -> DataFrame:
     """Provisions voted for by the judgments the questions retrieve."""
-    post, norms, terms, rows = se._zoned(spark, folder)
-    stats = ix.term_stats(post, rows.agg(F.count_distinct("doc_id").alias("n")))
+    post, norms, terms, lengths = se._zoned(spark, folder)
+    post = sc.candidates_for(post, terms)
+    stats = ix.term_stats(post, lengths.agg(F.count_distinct("doc_id").alias("n")))
     head = sc.topk(sc.bm25f(terms, post, stats, norms, se.ZONES), 10)
     cites = table(spark, folder, "precedents").select(F.col("id").alias("doc_id"), F.explode("relevant_statute_ids").alias("ref")).where("ref is not null")
     return se._round(ag.votes(head, cites), "score")
 
 
 def _answer_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    post, norms, terms, rows = se._zoned(spark, folder)
-    stats = ix.term_stats(post, rows.agg(F.count_distinct("doc_id").alias("n")))
+    post, norms, terms, lengths = se._zoned(spark, folder)
+    post = sc.candidates_for(post, terms)
+    stats = ix.term_stats(post, lengths.agg(F.count_distinct("doc_id").alias("n")))
     head = sc.topk(sc.bm25f(terms, post, stats, norms, se.ZONES), 8).select("query_id", "doc_id", "rank")
     return an.chunks(se.paragraphs(spark, folder), terms, head), terms
 
@@ -202,8 +204,8 @@ def checked_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, folder: str) -> DataFrame:
-    d, terms, _, _ = se._search(spark, folder)
-    head = sc.topk(se.bm25_scores(spark, folder), 3)
+    d, terms, post, stats = se._search(spark, folder)
+    head = sc.topk(sc.bm25(terms, post, stats), 3)
     return an.snippet(head, d.select("doc_id", F.lit(0).alias("para"), "text"), terms)
 
 
