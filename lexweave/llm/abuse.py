@@ -6,8 +6,9 @@ by a second-order factorization machine over its hashed words, whose pairwise in
 someone, or a group set beside vermin, from the same words in a sober account. Sums over windows come from running sums,
 so a text costs time in proportion to its length. The score of a text is that of its worst window.
 
-No labels come with the texts. The machine is trained on windows that hold a seed (a fixed word, or fixed words that
-stand together) against windows that hold none. Seeds are looked for in every text; of each seed at most an equal share of
+No labels come with the texts. The machine is trained on windows that hold a seed (a word that is abusive by itself, or a
+pattern: words of certain concepts close together, such as a people, vermin and a right to live) against windows that hold
+none. Seeds are looked for in every text; of each seed at most an equal share of
 half of ``max_windows`` distinct windows is kept, those with the smallest hashes, so a seed that stands anywhere is
 learnt. Only the windows without a seed are drawn from a sample of the texts.
 Half of the time a training window loses its seed words' single weight (they are dropped), so the words around a seed
@@ -43,81 +44,86 @@ SEED_WORDS = set(
     کتا کتے کمینہ کمینے حرامی حرامزادہ حرامخور گدھا رنڈی
     """).split()
 )
-#: Words that are abusive where they stand together in a window.
-SEED_SETS = [
-    frozenset(s.split())
-    for s in unicodedata.normalize("NFC", """
-    are vermin driven
-    not human filth
-    breed rats burn
-    kill every these problem solved
-    no decent rent filthy
-    women only good backs
-    send nude pictures
-    moaned pushed inside her
-    strip her naked use body
-    rather see choke blood
-    teach lesson cannot walk
-    shut mouth break
-    hang yourself nobody miss
-    ought dragged street beaten
-    your whole family trash
-    spread legs worth
-    find where live beg done
-    pathetic pretending lawyer
-    disgusting pretending lawyer
-    brainless pretending lawyer
-    worthless pretending lawyer
-    filthy pretending lawyer
-    judge takes money from filthy
-    judge takes money from disgusting
-    judge takes money from pathetic
-    judge takes money from worthless
-    judge takes money from brainless
-    nangi photo bhej
-    kapde utaar raat saath
-    keede jeene layak nahi
-    maar desh nikaal
-    chup teri zubaan kaat
-    khandaan ganda hai
-    नंगी तस्वीर भेज
-    कपड़े उतार रात साथ
-    कीड़े जीने लायक नहीं
-    मार देश निकाल
-    जीभ काट दूँगा
-    खानदान गंदा
-    नागडे फोटो पाठव
-    लोक किडे आहेत
-    मारून देशातून
-    तोंड बंद हाड
-    নগ্ন ছবি পাঠা
-    পোকা বাঁচার অধিকার নেই
-    মেরে দেশ তাড়ানো
-    রাস্তায় হাড় ভেঙে দেব
-    বংশ নোংরা
-    நிர்வாணப் படத்தை அனுப்பு
-    அடித்து நாட்டை விரட்ட
-    வாயை மூடு எலும்பை
-    குடும்பமே அசிங்கம்
-    கேவலமான நாய்
-    பூச்சிகள் வாழத்
-    ننگی تصویر بھیج
-    کیڑے جینے لائق نہیں
-    مار ملک نکال
-    زبان کاٹ دوں
-    خاندان گندا
-    سور بچے
-    """).strip().splitlines()
-]
+#: Concepts by their words in the seven languages. A word of a concept is not abusive by itself.
+CONCEPTS: dict[str, set[str]] = {
+    name: set(unicodedata.normalize("NFC", words).split())
+    for name, words in {
+        "demean": "stinking rotten pathetic disgusting brainless worthless filthy shameless stupid useless despicable vile repulsive spineless ghatiya besharam घटिया बेशर्म নির্লজ্জ কেভল கேவலமான کمتر گھٹیا بےشرم",
+        "role": "lawyer lawyers advocate attorney judge magistrate clerk officer policeman constable witness woman man vakil वकील जज উকিল வழக்கறிஞர் وکیل",
+        "pretend": "pretend pretends pretending excuse calling calls",
+        "bribe": "money bribe bribes bribed sold bought paisa paise rishwat",
+        "vermin": "vermin cockroach cockroaches rats maggots maggot parasites leeches pests filth scum keede keeda keedon कीड़े कीड़ा कीड़ों किडे किडा পোকা পোকামাকড় কীট பூச்சி பூச்சிகள் பூச்சிகள் புழுக்கள் کیڑے کیڑا",
+        "people": "people person persons community these those they them breed kind lot log logon लोग लोगों लोक লোক মানুষ এরা மக்கள் இவர்கள் لوگ لوگوں",
+        "live": "live breed breeding human humans deserve driven exterminated jeene jine layak layaq जीने लायक वाचण्याचा लायकीचे বাঁচার অধিকার வாழ வாழத் தகுதியற்ற جینے لائق",
+        "unfit": "deserve deserves unfit layak layaq लायक लायकीचे हक्क অধিকার தகுதியற்ற لائق",
+        "kill": "kill shoot burn lynch slaughter hang exterminate maar maaro mar मार मारो मारून ठार মেরে মারো அடித்து கொன்று مار مارو",
+        "expel": "out driven expelled nikaal nikalo nikaalo निकाल निकालो हाकलून हाकला তাড়ানো তাড়াও তাড়িয়ে விரட்ட விரட்டு نکال نکالو drive throw kick",
+        "country": "country nation land desh mulk देश देशातून দেশ நாட்டை நாட்டில் ملک",
+        "every": "every each all",
+        "solved": "solved solve problem gone cleaner",
+        "women": "women woman girls females aurat auratein औरत औरतें",
+        "only": "only just sirf",
+        "good": "good fit useful",
+        "lowly": "backs kitchen bed",
+        "nude": "nude nudes naked nangi नंगी नागडे नग्न নগ্ন நிர்வாண நிர்வாணப் ننگی",
+        "image": "picture pictures photo photos pics video photograph तस्वीर तस्वीरें फोटो ছবি படம் படத்தை تصویر",
+        "demand": "send show share bhej bhejo भेज भेजो पाठव দেখাও পাঠা পাঠাও அனுப்பு காட்டு بھیج بھیجو",
+        "undress": "strip undress kapde kapre कपड़े কাপড় ஆடை کپڑے",
+        "off": "utaar utar utaro उतार उतारो খুলে கழற்று اتار naked",
+        "night": "raat saath रात साथ রাত இரவு رات body bed",
+        "moan": "moaned moaning moans thrust thrusting pushed",
+        "inside": "inside deep harder",
+        "herhim": "her him me body",
+        "shut": "shut chup chhup बंद चुप চুপ மூடு چپ",
+        "break": "break smash rip cut tod todh kaat तोड़ काट फोड ভেঙে உடை வெட்டு کاٹ توڑ",
+        "part": "mouth tongue bones bone teeth jaw zubaan haddi जीभ ज़ुबान हड्डी हाड तोंड হাড় জিভ எலும்பை வாயை நாக்கை زبان ہڈی",
+        "you": "you your yourself tu teri tera tere tujhe तू तेरी तेरा तुझी तुझे তোর তুই তোমার உன் உன்னை نجے تیری تیرا تو",
+        "will": "दूँगा दूंगा दूँगी देब टाकीन দেব ফেলব வேன் دوں دونگا dunga doonga will",
+        "family": "family khandaan khandan parivaar खानदान घराणे বংশ পরিবার குடும்பமே குடும்பம் خاندان",
+        "dirty": "trash garbage dirt ganda gandi गंदा घाणेरडे নোংরা অসভ্য அசிங்கம் அசிங்கமான گندا",
+        "nobody": "nobody noone none miss",
+        "choke": "choke bleed rot suffocate drown",
+        "blood": "blood vomit agony pain",
+        "rather": "rather love hope wish",
+        "lesson": "lesson teach",
+        "walk": "walk stand sit",
+        "cannot": "cannot never unable",
+        "drag": "dragged paraded beaten flogged whipped",
+        "street": "street streets road naked public sadak रास्त्यात রাস্তায় தெருவில்",
+        "spread": "spread open",
+        "legs": "legs thighs",
+        "worth": "worth good money price",
+        "find": "find know",
+        "where": "where house home",
+        "beg": "beg crawl scream cry",
+        "decent": "decent respectable clean",
+        "rent": "rent house room sell hire",
+        "child": "bachche bachcha बच्चे বাচ্চা பன்றி بچے بچہ",
+        "animal": "suar kutte gadhe सूअर कुत्ते সুয়োর শুয়োরের நாய் நாய்கள் سور کتے",
+    }.items()
+}
+#: What makes concepts abusive: the first with all others within so many words of each other.
+PATTERNS = [
+    ("demean", ("role", "pretend"), 8), ("demean", ("role", "bribe"), 12), ("demean", ("animal",), 3), ("demean", ("people", "rent", "decent"), 14),
+    ("vermin", ("people", "live"), 12), ("vermin", ("people", "kill"), 12), ("vermin", ("expel",), 8), ("vermin", ("unfit",), 8), ("demean", ("vermin",), 3), ("kill", ("expel", "country"), 8), ("kill", ("every", "solved", "people"), 14),
+    ("women", ("only", "good", "lowly"), 18), ("nude", ("image", "demand"), 7), ("undress", ("off", "night"), 12), ("moan", ("inside", "herhim"), 12),
+    ("undress", ("herhim", "nude"), 10), ("break", ("part", "you"), 9), ("break", ("part", "will"), 6), ("shut", ("part", "break"), 10), ("family", ("dirty",), 6),
+    ("choke", ("blood", "rather"), 14), ("lesson", ("walk", "cannot"), 14), ("drag", ("street", "you"), 14), ("drag", ("street", "people"), 14), ("spread", ("legs", "worth"), 18),
+    ("beg", ("find", "where"), 14), ("kill", ("you", "nobody"), 12), ("animal", ("child",), 3),
+]
 #: Signs and digits that stand for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i", "|": "l", "+": "t", "€": "e"})
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}$@*!|+€]+")
 _MASK = re.compile(r"^([^\W\d_])\*{2,}([^\W\d_])?$")
-_KNOWN = SEED_WORDS | {w for s in SEED_SETS for w in s} | {"cockroach", "naked", "nude", "vermin", "filth", "filthy"}
+_KNOWN = SEED_WORDS | {w for ws in CONCEPTS.values() for w in ws}
 _BY_SHAPE: dict[tuple, str] = {}
-for _w in sorted(_KNOWN):
+for _w in [*sorted(SEED_WORDS), *sorted(_KNOWN)]:
     if len(_w) > 3:
         _BY_SHAPE.setdefault((_w[0], _w[-1], len(_w)), _w)
+_CORE: dict[str, list[int]] = defaultdict(list)  # the patterns that a word may begin
+for _n, (_first, _, _) in enumerate(PATTERNS):
+    for _w in CONCEPTS[_first]:
+        _CORE[_w].append(_n)
 
 
 def plain(token: str) -> str:
@@ -167,9 +173,24 @@ def terms(text: str, cache: dict[str, str]) -> list[str]:
     return out
 
 
+def seeds(words: list[str]) -> Iterator[tuple[str, int, int]]:
+    """(seed, start, end) of the abusive words, and of the patterns with the word that begins them, in a text."""
+    for i, w in enumerate(words):
+        if w in SEED_WORDS:
+            yield w, i, i + 1
+        for n in _CORE.get(w, ()):
+            _, others, span = PATTERNS[n]
+            near = set(words[max(0, i - span + 1) : i + span])
+            if all(not near.isdisjoint(CONCEPTS[o]) for o in others):
+                for s in range(max(0, i - span + 1), i + 1):
+                    held = set(words[s : s + span])
+                    if all(not held.isdisjoint(CONCEPTS[o]) for o in others):
+                        yield f"{n} {w}", s, s + span
+                        break
+
+
 def seeded(words: list[str]) -> bool:
-    have = set(words)
-    return bool(have & SEED_WORDS) or any(s <= have for s in SEED_SETS)
+    return next(seeds(words), None) is not None
 
 
 def slot(word: str) -> int:
@@ -242,30 +263,15 @@ def fit(windows: list[list[str]], labels: list[int], epochs: int = 12, rate: flo
     return Machine(float(bias), full_w[:pad], full_v[:pad])
 
 
-def seeds_of(words: list[str]) -> list[str]:
-    """The seeds that words hold, sets by their joined words."""
-    have = set(words)
-    return [*(have & SEED_WORDS), *(" ".join(sorted(s)) for s in SEED_SETS if s <= have)]
+#: Seeds that each get an equal share of the seeded windows.
+N_SEEDS = len(SEED_WORDS) + sum(map(len, _CORE.values()))
 
 
 def seed_windows(words: list[str]) -> Iterator[tuple[str, list[str]]]:
-    """(seed, window) of a text's windows that hold one; a set that falls between the half-overlapping windows gets the first that holds it."""
-    left = set(seeds_of(words))
-    if not left:
-        return
-    for step in (WINDOW // 2, 1):
-        missed = set(left)
-        for i in range(0, max(1, len(words) - WINDOW // 2), step):
-            win = words[i : i + WINDOW]
-            for seed in seeds_of(win):
-                if step > 1 or seed in missed:
-                    yield seed, win
-                    missed.discard(seed)
-            if step == 1 and not missed:
-                return
-        if not missed:
-            return
-        left = missed
+    """(seed, window) of the windows about every seed of a text: those that hold it at their start, middle and end."""
+    for seed, a, b in seeds(words):
+        for at in {max(0, b - WINDOW), max(0, (a + b - WINDOW) // 2), a}:
+            yield seed, words[at : at + WINDOW]
 
 
 def training_windows(docs: DataFrame, text: str, max_windows: int = 40_000, max_docs: int = 20_000) -> tuple[list[list[str]], list[int]]:
@@ -275,7 +281,9 @@ def training_windows(docs: DataFrame, text: str, max_windows: int = 40_000, max_
     """
     n = docs.where(F.col(text).isNotNull()).count()
     part = min(1.0, max_docs / max(1, n))
-    per_seed = max(1, max_windows // 2 // len(SEED_WORDS | {" ".join(sorted(s)) for s in SEED_SETS}))
+    # of ``max_docs`` texts every 48th and 8th window, of fewer texts a larger share
+    latin, other = (max(1, round(every * min(n, max_docs) / max_docs)) for every in (48, 8))
+    per_seed = max(1, max_windows // 2 // N_SEEDS)
     rows = docs.select(F.col(text).alias("t")).where("t is not null").withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << 30)))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,7 +314,7 @@ def training_windows(docs: DataFrame, text: str, max_windows: int = 40_000, max_
                 for i in range(0, max(1, len(ws) - WINDOW // 2), WINDOW // 2):
                     win = ws[i : i + WINDOW]
                     h = xxhash.xxh3_64_intdigest(" ".join(win)) >> 1
-                    if h % (48 if win and win[0].isascii() else 8) == 0 and not seeded(win):
+                    if h % (latin if win and win[0].isascii() else other) == 0 and not seeded(win):
                         out.append((" ".join(win), h))
             yield pd.DataFrame(out, columns=["w", "h"])
 

@@ -63,11 +63,38 @@ def test_training_windows(spark):
 
 
 def test_every_seed_is_learnt_whatever_the_sample(spark):
-    rare = [(" ".join(clean(40, 900)) + " kutiya",), (" ".join(["nangi", *clean(8, 901), "photo", *clean(3, 902), "bhej", *clean(30, 903)]),)]
+    rare = [(" ".join(clean(40, 900)) + " kutiya",), (" ".join([*clean(9, 901), "nangi", "wali", "photo", "mujhe", "bhej", *clean(30, 903)]),)]
     common = [(" ".join(clean(30, i)) + " idiot",) for i in range(300)]
     df = spark.createDataFrame(common + rare, "text string")
     windows, labels = abuse.training_windows(df, "text", 1000, 10)
     found = [set(w) for w, y in zip(windows, labels) if y]
     assert any("kutiya" in w for w in found) and any({"nangi", "photo", "bhej"} <= w for w in found)
-    assert 0 < sum("idiot" in w for w in found) <= 500 // 100 and len(windows) <= 1000
+    assert 0 < sum("idiot" in w for w in found) <= 6 and len(windows) <= 1000
     assert not any(abuse.seeded(w) for w, y in zip(windows, labels) if not y)
+
+
+#: Per language: words of sober texts, seeded wording, and held-out wording that no seed and no pattern covers.
+WORDING = {
+    "en": (NEUTRAL, ["these people are vermin who deserve nothing", "drive the vermin out", "your whole family is trash", "trash is what that family was", "send me nude pictures now", "share nude pictures or else"], ["vermin is what they are", "such trash he is your whole kind", "nude pictures of you please"]),
+    "hi": ("पुलिस ने दुकान से चाकू बरामद किया और गवाह ने अदालत में बयान दिया कि वह वहाँ था".split(), ["ये लोग कीड़े हैं जीने लायक नहीं", "तेरी जीभ काट दूँगा", "नंगी तस्वीर भेज"], ["सब कीड़े हैं यहाँ", "जीभ खींच कर काट", "नंगी तस्वीर चाहिए"]),
+    "hinglish": ("police ne dukaan se chaaku baramad kiya aur gawah ne adalat mein bayan diya ki woh wahan tha".split(), ["ye log keede hain jeene layak nahi", "teri zubaan kaat dunga", "nangi photo bhej"], ["saare keede hain yahan", "zubaan kheench kar kaat", "nangi photo chahiye"]),
+    "mr": ("पोलिसांनी दुकानातून चाकू जप्त केला आणि साक्षीदाराने न्यायालयात जबाब दिला".split(), ["हे लोक किडे आहेत वाचण्याचा", "नागडे फोटो पाठव", "मारून देशातून हाकलून"], ["सगळे किडे आहेत", "नागडे फोटो हवे", "देशातून हाकलून द्या"]),
+    "bn": ("পুলিশ দোকান থেকে ছুরি উদ্ধার করে এবং সাক্ষী আদালতে জবানবন্দি দেয়".split(), ["এরা পোকা বাঁচার অধিকার নেই", "নগ্ন ছবি পাঠা", "তোর হাড় ভেঙে দেব"], ["সব পোকা এখানে", "নগ্ন ছবি চাই", "হাড় ভেঙে যাক"]),
+    "ta": ("காவல்துறை கடையிலிருந்து கத்தியை மீட்டது சாட்சி நீதிமன்றத்தில் வாக்குமூலம் அளித்தார்".split(), ["இவர்கள் பூச்சிகள் வாழத் தகுதியற்ற", "நிர்வாணப் படத்தை அனுப்பு", "உன் எலும்பை உடை"], ["எல்லாம் பூச்சிகள்", "நிர்வாணப் படத்தை வேண்டும்", "எலும்பை உடை போ"]),
+    "ur": ("پولیس نے دکان سے چاقو برآمد کیا اور گواہ نے عدالت میں بیان دیا".split(), ["یہ لوگ کیڑے ہیں جینے لائق نہیں", "ننگی تصویر بھیج", "تیری زبان کاٹ دوں"], ["سب کیڑے ہیں", "ننگی تصویر چاہیے", "زبان کھینچ کاٹ"]),
+}
+
+
+def test_wording_that_is_in_no_list(spark):
+    rng = random.Random(1)
+    texts = []
+    for sober, seeded, _ in WORDING.values():
+        for i in range(240):
+            said = [rng.choice(seeded)] if i % 4 == 0 else []
+            texts.append((" ".join([*rng.choices(sober, k=30), *said, *rng.choices(sober, k=30)]),))
+    machine = abuse.fit(*abuse.training_windows(spark.createDataFrame(texts, "text string"), "text"))
+    for lang, (sober, _, held) in WORDING.items():
+        assert not any(abuse.seeded(abuse.terms(h, {})) for h in held), lang
+        found = [score(" ".join([*rng.choices(sober, k=25), h, *rng.choices(sober, k=25)]), machine) for h in held for _ in range(10)]
+        clear = [score(" ".join(rng.choices(sober, k=60)), machine) for _ in range(20)]
+        assert sum(f > max(clear) for f in found) >= 0.9 * len(found) and max(clear) < 0.5, (lang, found, max(clear))
