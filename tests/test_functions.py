@@ -30,7 +30,13 @@ def test_numbers(words, value):
 def test_hindi():
     assert lexical.hindi_stem("अदालतों") == "अदालत"
     assert lexical.romanise("जमानत") == "jamaanat"
+    assert [lexical.romanise(x) for x in ("दहेज", "ज़मानत", "धारा 302")] == ["dahej", "zamaanat", "dhaaraa 302"]
+    fold = lambda t: " ".join(map(lexical.normal_roman, t.split()))
+    assert fold(lexical.romanise("मेरे भाई को चाकू मारा")) == fold("mere bhai ko chaku maara")
+    assert all(fold(a) == fold(b) for a, b in (("zamanat", "jamanat"), ("chhura", "chura"), ("qatl", "katl"), ("wakil", "vakil"), ("chouri", "chori"), ("phaansi", "fansi")))
     assert lexical.hindi_soundex("zamanat") == lexical.hindi_soundex("jamaanat")
+    assert {lexical.hindi_soundex(w) for w in ("hatya", "hathya", "hattya")} == {"hty"}
+    assert lexical.hindi_soundex("chori") != lexical.hindi_soundex("dhokha")
 
 
 def test_section_mentions():
