@@ -1,7 +1,7 @@
 """What changed where one code replaced another: reports per new section, carry-over per pair, sections that were dropped.
 
-``sections`` has (code, section, title, text), one row for each section; ``crosswalk`` has (old, new, relation, note) of one
-family of codes. The work on a pair of sections is local to its row, so a table of pairs is mapped; what is shuffled are the
+``sections`` has (section, title, text), one row for each section; ``crosswalk`` has (old, new, relation, note). Sections are
+numbers of one family of codes, or code:number of several, which are then done together. The work on a pair of sections is local to its row, so a table of pairs is mapped; what is shuffled are the
 texts of the sections that the crosswalk pairs. A new section's predecessors come together in one row, of which the crosswalk
 has a handful; the map from old to new numbers is sent to the tasks behind a check of its size.
 
@@ -37,19 +37,23 @@ def sources(crosswalk: DataFrame) -> DataFrame:
     return rows.groupBy("old", "new").agg(F.min("relation").alias("relation"), F.max("note").alias("note"))
 
 
-def numbers(pairs: DataFrame) -> dict[str, str]:
-    """Old numbers with exactly one successor, and its number."""
+def numbers(pairs: DataFrame) -> dict[str, dict[str, str]]:
+    """By code ('' where sections are bare numbers), old numbers with exactly one successor, and its number."""
     one = pairs.groupBy("old").agg(F.min("new").alias("new"), F.count_distinct("new").alias("n")).where("n = 1")
     rows = one.select("old", "new").limit(MAX_CROSSWALK + 1).collect()
     if len(rows) > MAX_CROSSWALK:
         raise ValueError(f"the crosswalk has more than {MAX_CROSSWALK} sections, the stated bound")
-    return {r["old"]: r["new"] for r in rows}
+    out: dict[str, dict[str, str]] = {}
+    for r in rows:
+        code, _, number = r["old"].rpartition(":")
+        out.setdefault(code, {})[number] = r["new"].rpartition(":")[2]
+    return out
 
 
-def with_numbers(sections: DataFrame, own: dict[str, str], others: dict[str, tuple[str, dict[str, str]]] | None = None) -> DataFrame:
+def with_numbers(sections: DataFrame, own: dict[str, dict[str, str]], others: dict[str, tuple[str, dict[str, str]]] | None = None) -> DataFrame:
     """The sections with their references in the numbers of the code that replaced theirs."""
-    swap = vectorised(lambda t: pv.renumbered(t, own, others), "string")
-    return sections.withColumn("text", swap("text"))
+    swap = _mapped(lambda section, text: pv.renumbered(text, own.get((section or "").rpartition(":")[0], {}), others), "string")
+    return sections.withColumn("text", swap("section", "text"))
 
 
 def _groups(old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,57 +22,49 @@ def sections(spark: SparkSession, folder: str) -> DataFrame:
     return s.select(part(1).alias("code"), part(2).alias("section"), F.col("r.provision_name").alias("title"), F.concat_ws(" ", "r.text").alias("text"))
 
 
-def crosswalk(spark: SparkSession, folder: str, old: str, new: str) -> DataFrame:
-    """(old, new, relation, note): sections paired by the likeness of bodies and headings, with relations by their counterparts."""
+def crosswalk(spark: SparkSession, folder: str) -> DataFrame:
+    """(old, new, relation, note) of all families: sections paired by the likeness of bodies and headings, with relations by their counterparts."""
     rows = sections(spark, folder).select("code", "section", words(F.col("title")).alias("title"), words(F.col("text")).alias("words"))
-    pairs = cp.code_alignment(rows.where(F.col("code").isin(old, new)), old, new)
+    got = cp.family_alignment(rows, list(FAMILIES))
+    pairs = got.select(F.concat_ws(":", "old_code", "old").alias("old"), F.concat_ws(":", "new_code", "new").alias("new"))
     return cp.relations(pairs).withColumn("note", F.lit(None).cast("string"))
 
 
-def _family(spark: SparkSession, folder: str, old: str, new: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s = sections(spark, folder)
-    return s.where(F.col("code") == old), s.where(F.col("code") == new), cut(crosswalk(spark, folder, old, new))
+def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s = cut(sections(spark, folder)).withColumn("section", F.concat_ws(":", "code", "section"))
+    return s.where(F.col("code").isin([a for a, _ in FAMILIES])), s.where(F.col("code").isin([b for _, b in FAMILIES])), cut(crosswalk(spark, folder))
+
+
+def drift_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """What changed in every new section."""
+    return dr.reports(*_sides(spark, folder))
 
 
-def _over(fn):
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        parts = [fn(*_family(spark, folder, a, b)).select(F.lit(a).alias("old_code"), F.lit(b).alias("new_code"), "*") for a, b in FAMILIES]
-        return reduce(DataFrame.unionByName, parts)
+def drift_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and carry-over of every pair of sections."""
+    return dr.pair_drift(*_sides(spark, folder))
 
-    query.__doc__ = fn.__doc__
-    return query
 
+def drift_dropped(spark: SparkSession, folder: str) -> DataFrame:
+    """Old sections without a successor."""
+    return dr.dropped(*_sides(spark, folder))
 
-drift_reports = _over(dr.reports)
-drift_pairs = _over(dr.pair_drift)
-drift_dropped = _over(dr.dropped)
-drift_crosswalk = _over(lambda old, new, walk: dr.sources(walk))
-drift_summary = _over(lambda old, new, walk: dr.summary(dr.reports(old, new, walk)))
-drift_carried = _over(lambda old, new, walk: dr.carried(dr.pair_drift(old, new, walk), dr.dropped(old, new, walk), old))
-drift_notes = _over(lambda old, new, walk: dr.what_changed(dr.reports(old, new, walk), old.select(F.col("section").alias("ref"))))
+
+def drift_carried(spark: SparkSession, folder: str) -> DataFrame:
+    """How far what was held on each old section carries over."""
+    old, new, walk = _sides(spark, folder)
+    return dr.carried(dr.pair_drift(old, new, walk), dr.dropped(old, new, walk), old)
 
 
 def precedent_transfer(spark: SparkSession, folder: str) -> DataFrame:
     """For every new section, the judgments on the old law and how far they carry over."""
     cites = table(spark, folder, "precedents").where("id is not null").select(F.col("id").alias("doc_id"), F.explode("relevant_statute_ids").alias("k")).where("k is not null")
-    cites = cites.select("doc_id", F.split_part(F.lower(F.trim("k")), F.lit(":"), F.lit(1)).alias("code"), F.split_part(F.lower(F.trim("k")), F.lit(":"), F.lit(2)).alias("ref")).distinct()
-    out = []
-    for a, b in FAMILIES:
-        pairs = dr.pair_drift(*_family(spark, folder, a, b))
-        aims = pairs.select(F.col("new_section").alias("query_id"), F.col("new_section").alias("target")).distinct()
-        got = cp.transfer(cites.where(F.col("code") == a), aims, pairs)
-        out.append(got.select(F.lit(b).alias("code"), F.col("query_id").alias("section"), "doc_id", "transfer"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def stale_precedents(spark: SparkSession, folder: str) -> DataFrame:
-    """Judgments on law that carries over by less than half."""
-    rows = precedent_transfer(spark, folder).select(F.concat_ws(":", "code", "section").alias("query_id"), "doc_id", "transfer")
-    return dr.stale_precedents(rows)
-
-
-QUERIES = {
-    "drift_reports": drift_reports, "drift_pairs": drift_pairs, "drift_dropped": drift_dropped, "drift_crosswalk": drift_crosswalk, "drift_summary": drift_summary,
-    "drift_carried": drift_carried, "drift_notes": drift_notes, "precedent_transfer": precedent_transfer, "stale_precedents": stale_precedents,
-}
+    cites = cites.select("doc_id", F.lower(F.trim("k")).alias("ref")).distinct()
+    old, new, walk = _sides(spark, folder)
+    pairs = cut(dr.pair_drift(old, new, walk))
+    aims = pairs.select(F.col("new_section").alias("query_id"), F.col("new_section").alias("target")).distinct()
+    return cp.transfer(cites, aims, pairs).withColumnRenamed("query_id", "section")
+
+
+QUERIES = {f.__name__: f for f in (drift_reports, drift_pairs, drift_dropped, drift_carried, precedent_transfer)}
 SQL: dict[str, str] = {}
