@@ -14,8 +14,17 @@ CODES = {
 }
 _NUM = r"\d{1,4}(?:[ -]?[A-Z](?![\w.]))?(?:\(\d+\))*"
 _LIST = rf"{_NUM}(?:\s*(?:,|and|&|to|-|/)\s*{_NUM})*"
-_LEAD = re.compile(rf"\b(?:sections?|secs?\.?|ss?\.|u/s|articles?|arts?\.?|dhara|dafa)\s+({_LIST})(?:\s*(?:of|in|,)?\s*(?:the\s+)?(?:vindhara\s+)?)?", re.I)
-_CODE = re.compile(rf"({'|'.join(f'(?P<{k}>{v})' for k, v in CODES.items())})", re.I)
+_CODE_WORDS = "|".join(CODES.values())
+#: A list of numbers with at least one of: the code before it, a word for a section before it, the code after it.
+_REFERENCE = re.compile(
+    rf"(?:\b(?P<before>{_CODE_WORDS})\s*,?\s*)?(?P<lead>\b(?:under\s+sections?|sections?|secs?\.?|ss?\.|u/ss?\.?|articles?|arts?\.?|dhara|dafa)\s*)?(?<![\w.])(?P<nums>{_LIST})"
+    rf"(?:\s*(?:(?:of|in|under|,)\s*)?(?:the\s+)?(?:vindhara\s+)?(?P<after>{_CODE_WORDS})(?!\w))?(?![\w])",
+    re.IGNORECASE,
+)
+
+
+def _code(words: str | None) -> str:
+    return next((k for k, v in CODES.items() if re.fullmatch(v, words or "", re.IGNORECASE)), "?")
 
 
 def _numbers(text: str) -> list[str]:
@@ -31,13 +40,18 @@ def _numbers(text: str) -> list[str]:
 
 
 def section_mentions(text: str | None) -> list[dict]:
-    """{section, code, start, end} of the provisions a text mentions, in order; ``?`` where no code follows."""
+    """{section, code, start, end} of the provisions a text mentions, in order: "section 9 VPC", "9 VPC", "VPC 9"; ``?`` without a code.
+
+    A number of four digits right after a code is the year of the act.
+    """
     out = []
-    for m in _LEAD.finditer(text or ""):
-        c = _CODE.match(text, m.end())
-        code = next(k for k in CODES if c.group(k)) if c else "?"
-        end = c.end() if c else m.end(1)
-        out += [{"section": n, "code": code, "start": m.start(), "end": end} for n in _numbers(m[1])]
+    for m in _REFERENCE.finditer(text or ""):
+        year = not m["lead"] and re.match(r"\d{4}(?!\d)", m["nums"])
+        if year or not (m["before"] or m["lead"] or m["after"]):
+            continue
+        code = _code(m["after"] if m["lead"] and m["after"] or not m["before"] else m["before"])
+        end = m.end() if m["after"] else m.end("nums")
+        out += [{"section": n, "code": code, "start": m.start(), "end": end} for n in _numbers(m["nums"])]
     return out
 
 

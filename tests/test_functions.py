@@ -42,6 +42,8 @@ def test_hindi():
 def test_section_mentions():
     got = [(m["code"], m["section"]) for m in legal.section_mentions("u/s 302, 304 and 307 VPC; s. 34 of the Penal Code; sections 5 to 7")]
     assert got == [("vpc", "302"), ("vpc", "304"), ("vpc", "307"), ("vpc", "34"), ("?", "5"), ("?", "6"), ("?", "7")]
+    forms = {"VPC 302": "vpc:302", "vpc section 36A": "vpc:36a", "302 V.P.C. applies": "vpc:302", "44 of the Evidence Act": "vea:44", "the Penal Code, 1868": None, "in 1999 he left": None, "s. 103(1) VDS": "vds:103"}
+    assert {t: next((f"{m['code']}:{m['section']}" for m in legal.section_mentions(t)), None) for t in forms} == forms
     assert legal.section_mentions(None) == []
     assert legal.section_tokens("under s. 34 VPC now") == "under sec:vpc:34 now"
 
