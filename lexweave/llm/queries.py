@@ -213,6 +213,14 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_labelled": p3_labelled, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_items": p5_items, "p5_judges": p5_judges, "p5_agreement": p5_agreement, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks}
 SQL: dict[str, str] = {
+    "p4_found": r"""
+        WITH t AS (SELECT 'documents' AS tbl, CAST(doc_id AS VARCHAR) AS k, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+          UNION ALL SELECT 'precedents', id, max({'a': loaded_at, 't': coalesce(array_to_string(text, ' '), '')}).t FROM precedents WHERE id IS NOT NULL GROUP BY id),
+        w AS (SELECT tbl, k, list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(x, '^[\p{P}\p{S}]+|[\p{P}\p{S}]+$', '', 'g')), lambda x: x <> '') AS w FROM t),
+        g AS (SELECT DISTINCT tbl, k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT tbl, k, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w)),
+        n AS (SELECT tbl, k, count(*) AS n FROM g GROUP BY ALL),
+        p AS (SELECT a.tbl, a.k AS key_a, b.k AS key_b, count(*) AS c FROM g a JOIN g b ON a.tbl = b.tbl AND a.g = b.g AND a.k < b.k GROUP BY ALL)
+        SELECT p.tbl, key_a, key_b FROM p JOIN n x ON x.tbl = p.tbl AND x.k = key_a JOIN n y ON y.tbl = p.tbl AND y.k = key_b WHERE c >= 0.5 * (x.n + y.n - c)""",
     "p7_found": """
         SELECT 'documents' AS tbl, CAST(doc_id AS VARCHAR) AS rec_id, 0 AS para FROM documents WHERE length(text) > 6000
         UNION ALL SELECT tbl, id, CAST(i - 1 AS INTEGER) FROM (
