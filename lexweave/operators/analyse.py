@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -72,7 +73,10 @@ def resolved(tokens: list[str], res: Resources, when: str | None, sure: float =
 def pipeline(text: str | None, res: Resources, when: str | None = None, stems: bool = True) -> list[str]:
     """The index terms of a text."""
     tokens = [t for t in _TOKEN.findall(legal.section_tokens(text).lower()) if t.startswith("sec:") or t not in res.stop]
-    return resolved([lexical.stem(t) for t in tokens] if stems else tokens, res, when)
+    return resolved([_stem(t) for t in tokens] if stems else tokens, res, when)
+
+
+_stem = lru_cache(maxsize=200_000)(lexical.stem)
 
 
 def document_tokens(docs: DataFrame, text: str, res: Resources, stems: bool = True) -> DataFrame:

@@ -1,7 +1,7 @@
 """One search: questions are taken apart, documents filtered, channels scored and fused, boosts and penalties applied, duplicates collapsed.
 
 Every stage is a join or aggregation over the whole batch of questions; the options choose stages, and a table that isn't given
-switches its stage off. Nothing is collected.
+switches its stage off. Nothing is collected; what several stages read is written to the shared folder once.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from lexweave.operators import agent as ag
 from lexweave.operators import analyse as an
 from lexweave.operators import index as ix
 from lexweave.operators import score as sc
+from lexweave.session import cut
 
 
 @dataclass(frozen=True)
@@ -53,10 +54,10 @@ def restricted(scores: DataFrame, docs: DataFrame, asked: DataFrame) -> DataFram
 
 def search(corpus: Corpus, queries: DataFrame, res: an.Resources, options: ag.Options) -> DataFrame:
     """(query_id, doc_id, score, rank, channels): the ranking of every question, with the score each stage gave or added."""
-    asked = an.read(queries, res)
-    docs = an.document_tokens(corpus.docs, "text", res)
+    asked = cut(an.read(queries, res))
+    docs = cut(an.document_tokens(corpus.docs, "text", res).drop("text"))  # the texts are cut into words once
     vocabulary = ix.postings(ix.token_rows(docs, "doc_id", "tokens", tokens=F.col("tokens"))).groupBy("term").agg(F.count("*").alias("df"))
-    terms = an.terms(asked, vocabulary, corpus.lexicon, corpus.offences)
+    terms = cut(an.terms(asked, vocabulary, corpus.lexicon, corpus.offences))
     post, stats = sc.query_tables(docs, "doc_id", "tokens", terms, tokens=F.col("tokens"), cosine=options.lexical == "tfidf")
     first = sc.tfidf(terms, post, stats) if options.lexical == "tfidf" else sc.bm25(terms, post, stats)
     lexical = sc.max_normal(restricted(first, docs, asked))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexweave.plans import drift, orphans, ranking, relations, search, texts
+from lexweave.plans import drift, experiments, orphans, ranking, relations, search, texts
 
 FLAGSHIP = "bm25_topk"
-_MODULES = (orphans, search, relations, ranking, texts, drift)
+_MODULES = (orphans, search, relations, ranking, texts, drift, experiments)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

@@ -78,7 +78,7 @@ def doc_store(docs: DataFrame, kinds_out: tuple[str, ...] = ("query_case",)) ->
 def store_snippet(docs: DataFrame, chars: int = 200) -> DataFrame:
     """(doc_id, snippet): the beginning of each text, cut at a word."""
     head = F.substring("text", 1, chars)
-    return docs.select("doc_id", F.when(F.length("text") <= chars, F.col("text")).otherwise(F.regexp_replace(head, r"\s+\S*$", "…")).alias("snippet"))
+    return docs.select("doc_id", F.when(F.length("text") <= chars, F.col("text")).otherwise(F.regexp_replace(head, r"\s+\S*\z", "…")).alias("snippet"))
 
 
 def cue_zone(text: Column) -> Column:
