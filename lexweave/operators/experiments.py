@@ -101,7 +101,7 @@ def ladder(runs: DataFrame, qrels: DataFrame, order: list[str]) -> DataFrame:
     hits = runs.join(qrels.where("grade > 0").select("query_id", "doc_id").distinct(), ["query_id", "doc_id"])
     seen = F.row_number().over(Window.partitionBy("system", "query_id").orderBy("rank"))
     ap = hits.withColumn("i", seen).groupBy("system", "query_id").agg(F.sum(F.col("i") / F.col("rank")).alias("s"))
-    every = names.crossJoin(F.broadcast(rel)) if rel.count() <= 100_000 else names.join(rel, F.lit(True))
+    every = rel.crossJoin(F.broadcast(names))  # a handful of rungs
     mean = every.join(ap, ["system", "query_id"], "left").groupBy("step", "system").agg(F.avg(F.coalesce("s", F.lit(0.0)) / F.col("n_rel")).alias("map"))
     before = F.lag("map").over(Window.partitionBy(F.lit(1)).orderBy("step"))  # a ladder is a handful of rows
     return mean.withColumn("gain", F.col("map") - before)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.tables import small
+
 
 def base_ref(ref: str) -> "F.Column":
     """A reference without the letter or sub-section of its number."""
@@ -36,4 +38,4 @@ def in_force(statutes: DataFrame, queries: DataFrame, new: list[str], old: list[
     kind = F.when(code.isin(new), "new").when(code.isin(old), "old")
     s = statutes.select("ref", kind.alias("kind")).distinct()
     fits = (F.col("kind").isNull()) | (F.col("when") == "?") | (F.col("kind") == F.col("when"))
-    return queries.select("query_id", "when").join(F.broadcast(s), fits).select("query_id", "ref")  # the statute list is a fixed table
+    return queries.select("query_id", "when").join(small(s), fits).select("query_id", "ref")

@@ -109,8 +109,8 @@ def corpus_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def grouping_sets_report(spark: SparkSession, folder: str) -> DataFrame:
-    table(spark, folder, "documents").select("doc_type", "state", F.length("text").alias("n")).createOrReplaceTempView("lexweave_docs")
-    return spark.sql("SELECT doc_type, state, count(*) AS docs, sum(n) AS chars, CAST(grouping_id(doc_type, state) AS BIGINT) AS level FROM lexweave_docs GROUP BY GROUPING SETS ((doc_type, state), (doc_type), (state), ())")
+    d = table(spark, folder, "documents").select("doc_type", "state", F.length("text").alias("n"))
+    return spark.sql("SELECT doc_type, state, count(*) AS docs, sum(n) AS chars, CAST(grouping_id(doc_type, state) AS BIGINT) AS level FROM {d} GROUP BY GROUPING SETS ((doc_type, state), (doc_type), (state), ())", d=d)
 
 
 def citation_shift_monthly(spark: SparkSession, folder: str) -> DataFrame:

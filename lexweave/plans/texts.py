@@ -235,7 +235,7 @@ def crosswalk_relations(spark: SparkSession, folder: str) -> DataFrame:
 
 _V = f"WITH {se.TOK}, v AS (SELECT term, df FROM stats WHERE regexp_full_match(term, '[a-z]{{4,}}'))"
 _SIDE = """WITH s0 AS (SELECT id, max({'a': loaded_at, 'b': provision_name, 't': text}).t AS t FROM statutes GROUP BY 1), s1 AS (SELECT split_part(id, ':', 1) AS code, split_part(id, ':', 2) AS section, lower(array_to_string(t, ' ')) AS t FROM s0),
-s2 AS (SELECT code, section, regexp_extract_all(replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(t, '^\\s*\\(?[a-z0-9]{1,3}\\)\\s*', ''), 'shall be liable to', 'shall be punished with'), 'whosoever', 'whoever'), '\\brs\\.?\\s*', 'rupees ', 'g'), '(\\d),(\\d)', '\\1\\2', 'g'), 'sub-section', 'subsection'), '[a-z0-9]+') AS w FROM s1),
+s2 AS (SELECT code, section, regexp_extract_all(replace(regexp_replace(regexp_replace(replace(regexp_replace(t, '^\\s*\\(?[a-z0-9]{1,3}\\)\\s*', ''), 'whosoever', 'whoever'), '\\brs\\.?\\s*', 'rupees ', 'g'), '(\\d),(\\d)', '\\1\\2', 'g'), 'sub-section', 'subsection'), '[a-z0-9]+') AS w FROM s1),
 g AS (SELECT code, section, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM s2)"""
 _SUFFIX = " ".join(f"WHEN term LIKE '%{s}' AND length(term) > {len(s) + 3} THEN left(term, length(term) - {len(s)})" for s in ("ingly", "ation", "ing", "ed", "es", "ly", "s"))
 

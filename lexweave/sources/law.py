@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import legal
 from lexweave.functions.lexical import vectorised
 from lexweave.functions.text import words
+from lexweave.tables import small
 
 #: Wording that begins a part of a judgment, tried in order.
 CUES = (
@@ -122,7 +123,7 @@ def enriched(docs: DataFrame, courts: DataFrame, chars: int = 1500) -> DataFrame
     """
     head = F.lower(F.concat_ws(" ", F.coalesce("jurisdiction", F.lit("")), F.substring("text", 1, chars)))
     listed = courts.select("court_name", F.lower("name_pattern").alias("p"), "states").where("p is not null").distinct()
-    hit = docs.select("doc_id", head.alias("h")).join(F.broadcast(listed.limit(10_000)), F.expr("h rlike p")).groupBy("doc_id").agg(F.min(F.struct("court_name", "states")).alias("c"))
+    hit = docs.select("doc_id", head.alias("h")).join(small(listed), F.expr("h rlike p")).groupBy("doc_id").agg(F.min(F.struct("court_name", "states")).alias("c"))
     given = F.expr("cast(try_to_date(substring(date, 1, 10)) as string)")
     found = vectorised(legal.decision_date, "string")(F.substring("text", 1, chars))
     return docs.join(hit, "doc_id", "left").select(docs["*"], F.col("c.court_name").alias("court"), F.split("c.states", ";").alias("states"), F.coalesce(given, found).alias("decision_date"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,3 +19,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` to be sent to every task where it has at most ``rows`` rows; beyond that the optimiser chooses the join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
