@@ -2,9 +2,11 @@
 
 Sizes are counted in tokens of a public tokenizer. An item over the capacity is cut into full parts and a rest; all other
 items stay whole. The plan is made on the histogram of sizes, which has at most ``capacity`` bars however many items there
-are: combinations of two to four sizes that fill a container up to a small window are enumerated, their repeat counts are
-the non-negative least-squares solution against the histogram, rounded down, and what is left is packed greedily, largest
-first with the best fit. Items are then numbered within their size and read their container off the plan. The numbering
+are: combinations of two to four sizes that fill a container up to ``window`` tokens are enumerated (two sizes: all; three:
+one of them among the ``often`` most frequent; four: three of them; of all these the ``most`` fullest), their repeat counts
+are the non-negative least-squares solution against the histogram, rounded down, and what is left, whatever was not
+enumerated included, is packed greedily, largest first with the best fit. These bounds only limit the planning: no item is
+left out by them, and the histogram has the same number of bars at every size. Items are then numbered within their size and read their container off the plan. The numbering
 parts each size into buckets of at most ``BUCKET`` rows, so a size that a third of all items share is spread.
 
 Defined results: null and empty texts have no tokens and are in no container; equal items are packed like any others;
@@ -82,20 +84,26 @@ def combinations(hist: dict[int, int], capacity: int, window: int = 12, often: i
     return sorted(out, key=lambda p: (capacity - sum(p), len(p), p))[:most]
 
 
-def least_squares(patterns: list[tuple[int, ...]], hist: dict[int, int], sweeps: int = 12) -> np.ndarray:
-    """Non-negative repeat counts of the patterns against the histogram, by cyclic coordinate descent."""
+def least_squares(patterns: list[tuple[int, ...]], hist: dict[int, int], sweeps: int = 100, tolerance: float = 0.5) -> np.ndarray:
+    """Non-negative repeat counts of the patterns against the histogram, by cyclic coordinate descent.
+
+    It ends when no count moves by ``tolerance`` containers: each is then optimal within that, given the others.
+    """
     x = [0.0] * len(patterns)
     left = {l: float(n) for l, n in hist.items()}
     shapes = [(list(Counter(p).items()), sum(m * m for m in Counter(p).values())) for p in patterns]
     for _ in range(sweeps):
+        moved = 0.0
         for i, (shape, norm) in enumerate(shapes):
             step = sum(m * left[l] for l, m in shape) / norm
             new = max(0.0, x[i] + step)
             d = new - x[i]
             if d:
-                x[i] = new
+                x[i], moved = new, max(moved, abs(d))
                 for l, m in shape:
                     left[l] -= m * d
+        if moved < tolerance:
+            break
     return np.asarray(x)
 
 
