@@ -241,8 +241,8 @@ def segments(text: str, model: Scorer, run: int = 4) -> list[tuple[str, float, i
     return out
 
 
-def training_rows(df: DataFrame, text: str, label: str, max_rows: int = 6000) -> list[tuple[str, str]]:
-    """At most ``max_rows`` labelled rows, as many of each language as there are up to its share.
+def training_rows(df: DataFrame, text: str, label: str, max_rows: int = 6000, max_chars: int = 50_000) -> list[tuple[str, str]]:
+    """At most ``max_rows`` labelled rows, as many of each language as there are up to its share: whole texts, none of over ``max_chars``.
 
     The labels are counted first, then the texts whose hash falls under twice a language's share of its count are read in
     one pass, and the smallest hashes of them kept; the bound holds at every size.
@@ -254,10 +254,10 @@ def training_rows(df: DataFrame, text: str, label: str, max_rows: int = 6000) ->
     if not counts:
         return []
     part = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * each / n))])
-    rows = df.select(F.col(text).alias("t"), known[code].alias("l")).where("t is not null and l is not null").withColumn("h", F.xxhash64("t"))
+    rows = df.select(F.col(text).alias("t"), known[code].alias("l")).where(F.col("l").isNotNull() & (F.length("t") <= max_chars)).withColumn("h", F.xxhash64("t"))
     rows = rows.where(F.pmod("h", F.lit(1 << 30)) < part[F.col("l")] * (1 << 30))
     first = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-    return [(r["t"], r["l"]) for r in rows.withColumn("r", first).where(F.col("r") <= each).select(F.substring("t", 1, 4000).alias("t"), "l").collect()]
+    return [(r["t"], r["l"]) for r in rows.withColumn("r", first).where(F.col("r") <= each).select("t", "l").collect()]
 
 
 def labelled(texts: DataFrame, trained: tuple[dict[str, np.ndarray], frozenset[str]], run: int = 4) -> DataFrame:
