@@ -44,6 +44,13 @@ def coverage(terms: DataFrame, chunk_terms: DataFrame, idf: DataFrame, unseen: f
     return total.join(best, "query_id", "left").select("query_id", (F.coalesce("s", F.lit(0.0)) / F.col("t")).alias("coverage"))
 
 
+def clipped(text: Column, chars: int = 1200) -> Column:
+    """A text cut at the last sentence end within its first characters."""
+    head = F.substring(text, 1, chars)
+    kept = F.regexp_extract(head, r"(?s)^(.*[.!?।۔])(?:\s|$)", 1)
+    return F.when(F.length(text) <= chars, text).when(kept != "", kept).otherwise(head)
+
+
 def chunks(paragraphs: DataFrame, terms: DataFrame, ranked: DataFrame, most: int = 8, chars: int = 1200) -> DataFrame:
     """(query_id, chunk, doc_id, para, text): the best paragraph of each of the best documents, ratio and decision first, cut at a sentence end."""
     p = ranked.join(paragraphs, "doc_id").withColumn("_w", F.array_distinct(words(F.col("text"))))
@@ -51,9 +58,7 @@ def chunks(paragraphs: DataFrame, terms: DataFrame, ranked: DataFrame, most: int
     s = p.join(q, "query_id").withColumn("_s", F.size(F.array_intersect("_w", "_q")) + F.when(F.col("zone").isin("ratio", "decision"), 0.5).otherwise(0.0))
     one = s.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("_s"), "para"))).where("_r = 1")
     num = one.withColumn("chunk", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id"))).where(F.col("chunk") <= most)
-    head = F.substring("text", 1, chars)
-    kept = F.regexp_extract(head, r"(?s)^(.*[.!?।۔])(?:\s|$)", 1)
-    return num.select("query_id", "chunk", "doc_id", "para", F.when(F.length("text") <= chars, F.col("text")).when(kept != "", kept).otherwise(head).alias("text"))
+    return num.select("query_id", "chunk", "doc_id", "para", clipped(F.col("text"), chars).alias("text"))
 
 
 def extractive(chunk_rows: DataFrame, terms: DataFrame, most: int = 4, chars: int = 240) -> DataFrame:
