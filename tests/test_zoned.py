@@ -84,3 +84,10 @@ def test_bm25f_zones_moves_no_hits(spark, data):
 def test_bm25f_zones_asks_every_question(spark, data):
     ids, rest = asked_in(spark, data, "bm25f_zones")
     assert len(ids) > se.questions(spark, data).count() / 2 and len(rest) > 1
+
+
+def test_zone_breakdown_asks_every_question_and_moves_no_hits(spark, data):
+    df = QUERIES["zone_breakdown"](spark, data)
+    assert "MapInArrow" in plan_of(df) and "tf#" not in plan_of(df)
+    ids = {r.query_id for r in df.collect()}
+    assert len({int(i[1:]) % 20 for i in ids}) > 1
