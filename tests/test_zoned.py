@@ -105,3 +105,10 @@ def test_answer_sentences_asks_every_question_and_moves_no_hits(spark, data):
     assert "MapInArrow" in plan_of(df) and "tf#" not in plan_of(df)
     ids = {r.query_id for r in df.collect()}
     assert len({int(i[1:]) % 20 for i in ids}) > 1
+
+
+def test_checked_answers_asks_every_question_and_moves_no_hits(spark, data):
+    df = QUERIES["checked_answers"](spark, data)
+    assert "MapInArrow" in plan_of(df) and "tf#" not in plan_of(df)
+    ids = {r.query_id for r in df.collect()}
+    assert len({int(i[1:]) % 20 for i in ids}) > 1
